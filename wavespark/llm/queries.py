@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import canonical, exact
+from . import canonical, exact, packing, tokens
 
 
 def queries() -> dict:
     return {
+        "op4_packing": packing.op4_packing,
+        "op9_token_output": tokens.op9_token_output,
         "op8_document_fingerprints": canonical.op8_document_fingerprints,
         "op10_exact_dedup": exact.op10_exact_dedup,
     }
