@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import canonical, exact, packing, tokens
+from . import canonical, exact, mixing, packing, simhash, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op3_simhash": simhash.op3_simhash,
         "op4_packing": packing.op4_packing,
         "op9_token_output": tokens.op9_token_output,
         "op8_document_fingerprints": canonical.op8_document_fingerprints,
@@ -15,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact.SQL}
+    return {"op1_mixing": mixing.SQL, "op10_exact_dedup": exact.SQL}
