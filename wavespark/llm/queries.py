@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, exact, mixing, packing, simhash, tokens
+from . import canonical, exact, language, mixing, packing, simhash, tokens, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op3_simhash": simhash.op3_simhash,
         "op4_packing": packing.op4_packing,
         "op9_token_output": tokens.op9_token_output,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op7_language": language.op7_language,
         "op8_document_fingerprints": canonical.op8_document_fingerprints,
         "op10_exact_dedup": exact.op10_exact_dedup,
     }
