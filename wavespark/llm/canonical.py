@@ -19,11 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, free_shuffles, text_of, written
-
-#: Cuts in one step of the search for a row's range.
-_STRIDE = 64
-
+from .common import cuts, documents, free_shuffles, range_of, text_of, written
 
 def _nfkc(text: Column) -> Column:
     return F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
@@ -58,17 +54,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return forms.select("fingerprint", F.sha2("form", 256).alias("form_sha256"), "class_id", "class_size")
 
 
-def _range_of(key: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts lie below key: first among every 64th, then among the 64 after it."""
-    if not cuts:
-        return F.lit(0)
-    below = lambda some: F.size(F.filter(some, lambda c: c < key))
-    array = lambda some: F.lit(some) if some else F.array().cast("array<bigint>")
-    coarse = below(array(cuts[_STRIDE - 1 :: _STRIDE]))
-    fine = F.slice(array(cuts), coarse * _STRIDE + 1, F.lit(_STRIDE))
-    return F.when(key.isNull(), 0).otherwise(coarse * _STRIDE + below(fine))
-
-
 def with_next(docs: DataFrame, key: str, value: str, ranges: int | None = None) -> DataFrame:
     """(key, value, next_value): next by descending key, the first row's value after the last.
 
@@ -78,9 +63,7 @@ def with_next(docs: DataFrame, key: str, value: str, ranges: int | None = None)
     """
     spark = docs.sparkSession
     ranges = ranges or 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = docs.select(F.percentile_approx(key, shares, 20 * ranges).alias("cuts")).first()["cuts"]
-    rows = docs.select(key, value, _range_of(F.col(key), sorted(set(cuts or []))).alias("range"))
+    rows = docs.select(key, value, range_of(F.col(key), cuts(docs, key, ranges)).alias("range"))
     every = Window.orderBy(F.col("range").desc())
     follow = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = rows.groupBy("range").agg(F.max(key).alias("top")).select(

@@ -75,6 +75,28 @@ def salt(columns: list[str], n: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
+#: Cuts in one step of the search for a row's range.
+_STRIDE = 64
+
+
+def cuts(df: DataFrame, key: str, ranges: int) -> list[int]:
+    """Quantiles of a long column that part it into so many ranges, or fewer."""
+    shares = [i / ranges for i in range(1, ranges)]
+    found = df.select(F.percentile_approx(key, shares, 20 * ranges).alias("cuts")).first()["cuts"]
+    return sorted(set(found or []))
+
+
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts lie below key, null 0: first among every 64th, then among the 64 after it."""
+    if not cuts:
+        return F.lit(0)
+    below = lambda some: F.size(F.filter(some, lambda c: c < key))
+    array = lambda some: F.lit(some) if some else F.array().cast("array<bigint>")
+    coarse = below(array(cuts[_STRIDE - 1 :: _STRIDE]))
+    fine = F.slice(array(cuts), coarse * _STRIDE + 1, F.lit(_STRIDE))
+    return F.when(key.isNull(), 0).otherwise(coarse * _STRIDE + below(fine))
+
+
 def signed(value: int) -> int:
     """An unsigned 64-bit number as Spark's long."""
     return value - (1 << 64) if value >= 1 << 63 else value

@@ -1,23 +1,36 @@
 """Token ids by public tokenizers, with each distinct word encoded once.
 
 A tokenizer of the tokenizers library cuts a text before it merges. Where a cut is certain, a text
-is cut here, cheaply, and the ids of a part are kept: words repeat, so most parts are found. Parts
-that aren't known go to the library in one batch. A text whose white space makes the cuts
-uncertain goes to the library whole. Ids come as bytes, unsigned 32-bit little-endian.
+is cut here, cheaply, and the ids of a part are kept: words repeat, so most parts are found. A part
+that is a word of ASCII or Latin letters is one piece for the merges, so such parts go to the
+library's model many at a time, past its slower cutting; other new parts go to the whole
+tokenizer. A text whose white space makes the cuts uncertain goes there uncut. Ids come as bytes,
+unsigned 32-bit little-endian.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
-#: White space of which runs may form tokens of their own, but for single spaces and line ends.
-_RUNS = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
-_WIDE = tuple(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: Parts kept for a whole process; beyond those, new parts are kept for one group of texts.
+ROOM = 600_000
+
+#: Bytes of text that are cut and looked up together.
+GROUP = 6_000_000
 
-_ENDS = b".,"
+#: White space other than single spaces and line ends, in UTF-8.
+_ODD = re.compile(
+    b"[\t\r\x0b\x0c\x1c-\x1f]|"
+    + b"|".join(chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+)
 
-#: Parts kept, at most.
-ROOM = 1_000_000
+#: A line end or none, letters, ASCII signs or none. Letters: ASCII, Latin-1 and Latin Extended-A, in UTF-8, without
+#: the two signs among them and without U+0130, whose lower case is two characters.
+_FORM = re.compile(
+    b"(\n?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+)([!-/:-@\\[-`{-~]*)"
+)
 
 _open: dict[str, _Encoder] = {}
 
@@ -28,83 +41,139 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: itself if printable, else the next from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class _Encoder:
+    """before: what stands before a word's letters as the model sees it; after: what ends them."""
+
+    before, after = "", ""
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.model.normalizer = None
+        sizes = {i: len(t) for t, i in self.library.get_vocab(with_added_tokens=False).items()}
+        self.sizes = np.zeros(max(sizes) + 1, dtype=np.int64)
+        self.sizes[list(sizes)] = list(sizes.values())
         self.known: dict[bytes, bytes] = {}
-        self.zero = int(np.frombuffer(self.whole([" 0"])[0], dtype="<u4")[0])
-        self.ends = dict(zip(_ENDS, self.whole([chr(c) for c in _ENDS]), strict=True))
+        self.passing: list[bytes] = []
+        self.lines = {b"": b"", b"\n": self.whole(["\n"])[0]}
+        self.letters = {k: v for k, v in byte_letters().items() if k != 32}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def learn(self, parts: set[bytes]) -> None:
-        """Sees to it that all parts are known.
+    def words(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of parts that are words of letters: pieces of the model are as long as their letters."""
+        table, before, form, out = self.letters, self.before, self.form, []
+        for at in range(0, len(parts), 5000):
+            some = [form(p[1:]) if p[0] == 32 else before + form(p) for p in parts[at : at + 5000]]
+            some = " ".join(some).translate(table)
+            ids = np.array(self.model.encode(some, add_special_tokens=False).ids, dtype="<u4")
+            some = some.split(" ")
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + len(self.after))
+            cuts = (4 * (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)).tolist()
+            found = ids.tobytes()
+            out += [found[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def learn(self, parts: set[bytes]) -> bool:
+        """Sees to it that all parts are known, but for odd ones; whether there are odd ones.
 
-        After an ASCII letter, a last comma or full stop is a token of its own in any of these
-        tokenizers, so that the part before it is learnt alone.
+        A part is a word, or a line end, a word and ASCII signs, each a token's bound, or else.
         """
         known = self.known
-        if len(known) > ROOM:
-            known.clear()
         new = [p for p in parts if p not in known]
-        ended = [p for p in new if p[-1] in _ENDS and p[-2:-1].isalpha()]
-        self._ask([p for p in new if not (p[-1] in _ENDS and p[-2:-1].isalpha())])
-        self._ask([p for p in {p[:-1] for p in ended} if p not in known])
-        for p in ended:
-            known[p] = known[p[:-1]] + self.ends[p[-1]]
-
-    def _ask(self, parts: list[bytes]) -> None:
-        """Asks the library for parts, many in one text: a lone 0 after each, which is one token, parts them."""
-        alone = [p for p in parts if b"0" in p or p[:1] == b" "]
-        self.known.update(zip(alone, self.whole([self.text(p) for p in alone]), strict=True))
-        parts = [p for p in parts if not (b"0" in p or p[:1] == b" ")]
-        groups = [parts[i : i + 2000] for i in range(0, len(parts), 2000)]
-        for some, ids in zip(groups, self.whole([" 0".join([*map(self.text, g), ""]) for g in groups]), strict=True):
-            ids = np.frombuffer(ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.zero).tolist()
-            ids, at = ids.tobytes(), 0
-            for p, end in zip(some, ends, strict=True):
-                self.known[p] = ids[4 * at : 4 * end]
-                at = end + 1
+        self.passing = new if len(known) > ROOM else []
+        odd = self.some_odd(new)
+        if odd:
+            new = [p for p in new if not self.odd(p)]
+        words, made, rest, match = [], [], [], _FORM.fullmatch
+        for p in new:
+            if p.isalpha():
+                words.append(p)
+            elif (m := match(p)) is None:
+                rest.append(p)
+            else:
+                line, word, signs = m.groups()
+                if line or signs:
+                    made.append((p, line, self.bare(word) if line else word, self.bare(signs) if signs else b""))
+                else:
+                    words.append(p)
+        here = set(words)
+        bases = [b for b in {x[2] for x in made} if b not in known and b not in here]
+        signs = [b for b in {x[3] for x in made} if b not in known and b]
+        known.update(zip(words, self.words(words), strict=True))
+        known.update(zip(bases, self.words(bases), strict=True))
+        rest += signs
+        known.update(zip(rest, self.whole([self.text(p) for p in rest]), strict=True))
+        known[b""], lines = b"", self.lines
+        known.update([(p, lines[line] + known[word] + known[sign]) for p, line, word, sign in made])
+        del known[b""]
+        if self.passing:
+            self.passing = self.passing + bases
+        return odd
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out, some, size = [], [], 0
         for t in texts:
             some.append(t)
             size += len(t)
-            if size > 1 << 22:
+            if size > GROUP:
                 out += self._some(some)
                 some, size = [], 0
         return out + self._some(some) if some else out
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
-        self.learn(set().union(*(c for c in cut if c is not None)))
+        odd = self.learn(set().union(*cut))
+        uncut = [i for i, c in enumerate(cut) if any(map(self.odd, c))] if odd else []
+        for i in uncut:
+            cut[i] = []
         get = self.known.__getitem__
-        out = [b"" if c is None else b"".join(map(get, c)) for c in cut]
-        rest = [i for i, c in enumerate(cut) if c is None]
-        for i, ids in zip(rest, self.whole([texts[i].decode() for i in rest]), strict=True) if rest else ():
+        out = [b"".join(map(get, c)) for c in cut]
+        for p in self.passing:
+            self.known.pop(p, None)
+        for i, ids in zip(uncut, self.whole([texts[i].decode() for i in uncut]), strict=True):
             out[i] = ids
         return out
 
+    def bare(self, part: bytes) -> bytes:
+        """The part's name where no space stands before it."""
+        return part
+
+    def some_odd(self, parts: list[bytes]) -> bool:
+        return False
+
+    def odd(self, part: bytes) -> bool:
+        return False
+
+    def form(self, part: bytes) -> str:
+        """A word's bytes as characters of one byte each, as the model takes them."""
+        return part.decode("latin-1")
+
 
 class _Spaced(_Encoder):
     """Byte-level BPE whose words take the space before them along."""
 
-    def cut(self, text: bytes) -> list[bytes] | None:
-        if text[:1] in (b" ", b"\n") or text[-1:] in (b" ", b"\n") or any(r in text for r in _RUNS):
-            return None
-        if not text.isascii() and any(r in text for r in _WIDE):
-            return None
+    before = "Ġ"
+
+    def cut(self, text: bytes) -> list[bytes]:
         parts = text.replace(b"\n", b" \n").split(b" ")
-        if parts[0]:
+        if parts[0][:1] not in (b"", b"\n"):
             parts[0] = b" " + parts[0]  # marks a part without a space before it
-        else:
+        elif not parts[0]:
             del parts[0]
         return parts
 
@@ -113,15 +182,30 @@ class _Spaced(_Encoder):
             return part[1:].decode()
         return part.decode() if part[:1] == b"\n" else " " + part.decode()
 
+    def bare(self, part: bytes) -> bytes:
+        return b" " + part
+
+    def some_odd(self, parts: list[bytes]) -> bool:
+        return b"" in parts or b"\n" in parts or _ODD.search(b"|".join(parts)) is not None
+
+    def odd(self, part: bytes) -> bool:
+        """Whether runs of white space, or any but spaces and line ends, touch the part."""
+        return part in (b"", b"\n") or _ODD.search(part) is not None
+
 
 class _Words(_Encoder):
     """BPE over lower-case words; white space only separates."""
 
+    after = "</w>"
+
     def cut(self, text: bytes) -> list[bytes]:
         return text.lower().split()
 
     def text(self, part: bytes) -> str:
-        return " " + part.decode()
+        return part.decode()
+
+    def form(self, part: bytes) -> str:
+        return part.decode("latin-1") if part.isascii() else part.decode().lower().encode().decode("latin-1")
 
 
 def encoder(path: str, spaced: bool) -> _Encoder:

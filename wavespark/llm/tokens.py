@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, text_of
+from .common import cuts, documents, new_path, range_of, text_of
 from .encode import encoder, tokenizer_path
 
 SCHEMA = "doc_id BIGINT, n_tokens INT, tokens ARRAY<INT>"
@@ -28,6 +28,7 @@ SCHEMA = "doc_id BIGINT, n_tokens INT, tokens ARRAY<INT>"
 #: What the Parquet writer is told. Version 2 pages delta-encode integers that have no dictionary.
 LAYOUT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",
@@ -60,7 +61,8 @@ def write_tokens(
     """Encodes docs and writes the dataset to path, a folder that all executors reach."""
     tokenizer = tokenizer or tokenizer_path("byte_bpe_50k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    bounds = cuts(rows, "doc_id", max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.repartitionById(len(bounds) + 1, range_of(F.col("doc_id"), bounds)).sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(_encoded(tokenizer, end_id), SCHEMA).write.options(**LAYOUT).parquet(path)
     return path
 
