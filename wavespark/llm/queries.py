@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import canonical, exact, language, mixing, packing, simhash, tokens, toxicity
+from . import canonical, exact, language, mixing, packing, repeats, simhash, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_repeats": repeats.op2_repeats,
         "op3_simhash": simhash.op3_simhash,
         "op4_packing": packing.op4_packing,
         "op9_token_output": tokens.op9_token_output,
