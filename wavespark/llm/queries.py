@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import canonical, exact, language, mixing, packing, repeats, simhash, tokens, toxicity
+from . import canonical, exact, language, licenses, mixing, packing, repeats, simhash, tokens, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op9_token_output": tokens.op9_token_output,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_licenses": licenses.op6_licenses,
         "op7_language": language.op7_language,
         "op8_document_fingerprints": canonical.op8_document_fingerprints,
         "op10_exact_dedup": exact.op10_exact_dedup,
