@@ -39,7 +39,7 @@ ROOM = 400_000
 LEVEL = 0.7
 _RUNS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SEEN_BITS = 24
+_SEEN_BITS = 22
 
 
 def words_of(part: str) -> list[str]:
@@ -64,9 +64,15 @@ class _Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.__setstate__((keys[order], values[order].astype(np.float32)))
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys, self.values
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        self.keys, self.values = state
         self.seen = np.zeros(1 << _SEEN_BITS, dtype=bool)
-        self.seen[keys >> np.uint64(64 - _SEEN_BITS)] = True
+        self.seen[self.keys >> np.uint64(64 - _SEEN_BITS)] = True
 
     def get(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the hashes that are there stand, and their numbers."""
