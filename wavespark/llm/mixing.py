@@ -37,6 +37,12 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+def first_words(text: Column, n: Column) -> Column:
+    """The text as far as its first n words: what stands before a word stays with it."""
+    parts = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    return F.array_join(F.slice(parts, F.lit(1), n), "")
+
+
 def uniform(key: Column, seed: int) -> Column:
     """A number in (0, 1) from the MD5 of the seed and the key."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
@@ -70,26 +76,26 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = 1.5,
     most: float = 2.0,
-    quality: str | None = None,
+    quality: DataFrame | None = None,
     seed: int = 1,
     bins: int = BINS,
 ) -> DataFrame:
     """What the mix takes of each document.
 
-    docs: doc_id, text, source and, if named, the column of quality weights. share: the budget as a
-    multiple of all sizes; most: a target's cap as a multiple of its source's size. Returns doc_id,
-    source, size, source_size, target, epochs (whole copies), part (words of the last, partial
-    copy), taken (words in all).
+    docs: doc_id, text, source. quality: (doc_id, weight), a row a document, or None. share: the
+    budget as a multiple of all sizes; most: a target's cap as a multiple of its source's size.
+    Returns doc_id, source, size, source_size, target, epochs (whole copies), part (words of the
+    last, partial copy), taken (words in all).
     """
-    weight = F.col(quality).cast("double") if quality else F.lit(1.0)
-    weight = F.when(weight > 0, weight).otherwise(1.0)
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        n_words(text_of()).alias("size"),
-        (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size")
     )
-    rows = written(rows, "mix-sizes")  # texts are read once
+    rows = written(rows, "mix-sizes")  # texts are read once and don't move
+    weight = F.lit(1.0)
+    if quality is not None:
+        rows = rows.join(quality.select("doc_id", F.col("weight").cast("double").alias("weight")), "doc_id", "left")
+        weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
+    rows = rows.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"))
     rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int"))
     summed = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     goal = targets(summed.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most)
@@ -109,16 +115,16 @@ def mix(
     return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", taken.alias("taken"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with the column quality_weight from labels (doc_id, quality)."""
-    one = labels.groupBy("doc_id").agg(F.max("quality").alias("label"))
+def label_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight) from labels (doc_id, quality)."""
+    one = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("label"))
     weight = F.when(F.col("label") == 1, QUALITY[1]).when(F.col("label") == 0, QUALITY[0]).otherwise(1.0)
-    return docs.join(one, "doc_id", "left").withColumn("quality_weight", weight).drop("label")
+    return one.select("doc_id", weight.alias("weight"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
-    return mix(docs, quality="quality_weight").select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+    rows = mix(documents(spark, sf_dir), quality=label_weights(table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
 SQL = r"""
