@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 
 from wavespark.operators import edges, joins, sequence, views
-from wavespark.plans import catalog, protocols_catalog  # noqa: F401
+from wavespark.plans import catalog, checks_catalog, protocols_catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

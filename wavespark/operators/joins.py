@@ -12,33 +12,33 @@ from pyspark.sql import functions as F
 
 def _merged(left: DataFrame, right: DataFrame, keys: list[str], right_first: bool) -> DataFrame:
     """left and right (keys, tick) in one table: side 1 is left, `ref` the right side's tick."""
-    a = left.withColumn("side", F.lit(1 if right_first else 0)).withColumn("ref", F.lit(None).cast("long")).withColumn("own", F.lit(True))
-    b = right.select(*keys, "tick").withColumn("side", F.lit(0 if right_first else 1)).withColumn("ref", F.col("tick")).withColumn("own", F.lit(False))
+    a = left.withColumn("_side", F.lit(1 if right_first else 0)).withColumn("ref", F.lit(None).cast("long")).withColumn("_own", F.lit(True))
+    b = right.select(*keys, "tick").withColumn("_side", F.lit(0 if right_first else 1)).withColumn("ref", F.col("tick")).withColumn("_own", F.lit(False))
     return a.unionByName(b, allowMissingColumns=True)
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], inclusive: bool = True) -> DataFrame:
     """left with `ref`, the right side's last tick at or before (or before) its own; null if none."""
     rows = _merged(left, right, keys, inclusive)
-    order = Window.partitionBy(*keys).orderBy("tick", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ref", F.last("ref", ignorenulls=True).over(order)).where("own").drop("side", "own")
+    order = Window.partitionBy(*keys).orderBy("tick", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("ref", F.last("ref", ignorenulls=True).over(order)).where("_own").drop("_side", "_own")
 
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], inclusive: bool = True) -> DataFrame:
     """left with `ref`, the right side's first tick at or after (or after) its own; null if none."""
     rows = _merged(left, right, keys, not inclusive)
-    order = Window.partitionBy(*keys).orderBy(F.col("tick").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ref", F.last("ref", ignorenulls=True).over(order)).where("own").drop("side", "own")
+    order = Window.partitionBy(*keys).orderBy(F.col("tick").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("ref", F.last("ref", ignorenulls=True).over(order)).where("_own").drop("_side", "_own")
 
 
 def level_at(points: DataFrame, edges: DataFrame, keys: list[str], initial: int = 0) -> DataFrame:
     """points (keys, tick) with the level in force there: an edge on the tick is in force."""
-    a = points.withColumn("side", F.lit(1))
-    b = edges.select(*keys, "tick").withColumn("side", F.lit(0))
-    order = Window.partitionBy(*keys).orderBy("tick", "side").rowsBetween(Window.unboundedPreceding, 0)
+    a = points.withColumn("_side", F.lit(1))
+    b = edges.select(*keys, "tick").withColumn("_side", F.lit(0))
+    order = Window.partitionBy(*keys).orderBy("tick", "_side").rowsBetween(Window.unboundedPreceding, 0)
     rows = a.unionByName(b, allowMissingColumns=True)
-    level = (F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).over(order) + initial) % 2
-    return rows.withColumn("level", level).where("side = 1").drop("side")
+    level = (F.sum(F.when(F.col("_side") == 0, 1).otherwise(0)).over(order) + initial) % 2
+    return rows.withColumn("level", level).where("_side = 1").drop("_side")
 
 
 def nearest_distance(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,21 +50,21 @@ def nearest_distance(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
 
 def in_windows(points: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """points (keys, tick) with `start` of the window [start, end) that holds them, null outside; windows don't overlap."""
-    a = points.withColumn("side", F.lit(1))
-    b = windows.select(*keys, F.col("start").alias("tick"), F.struct("start", "end").alias("win")).withColumn("side", F.lit(0))
-    order = Window.partitionBy(*keys).orderBy("tick", "side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b, allowMissingColumns=True).withColumn("win", F.last("win", ignorenulls=True).over(order)).where("side = 1")
-    return rows.withColumn("start", F.when(F.col("tick") < F.col("win.end"), F.col("win.start"))).drop("side", "win")
+    a = points.withColumn("_side", F.lit(1))
+    b = windows.select(*keys, F.col("start").alias("tick"), F.struct("start", "end").alias("win")).withColumn("_side", F.lit(0))
+    order = Window.partitionBy(*keys).orderBy("tick", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b, allowMissingColumns=True).withColumn("win", F.last("win", ignorenulls=True).over(order)).where("_side = 1")
+    return rows.withColumn("start", F.when(F.col("tick") < F.col("win.end"), F.col("win.start"))).drop("_side", "win")
 
 
 def uncovered(points: DataFrame, windows: DataFrame, keys: list[str], margin: int = 0) -> DataFrame:
     """points outside every window, each widened by margin; windows may overlap."""
     wide = windows.select(*keys, (F.col("start") - margin).alias("start"), (F.col("end") + margin).alias("end"))
-    a = points.withColumn("side", F.lit(1))
-    b = wide.select(*keys, F.col("start").alias("tick"), "end").withColumn("side", F.lit(0))
-    order = Window.partitionBy(*keys).orderBy("tick", "side").rowsBetween(Window.unboundedPreceding, 0)
+    a = points.withColumn("_side", F.lit(1))
+    b = wide.select(*keys, F.col("start").alias("tick"), "end").withColumn("_side", F.lit(0))
+    order = Window.partitionBy(*keys).orderBy("tick", "_side").rowsBetween(Window.unboundedPreceding, 0)
     rows = a.unionByName(b, allowMissingColumns=True).withColumn("reach", F.max("end").over(order))
-    return rows.where("side = 1 AND (reach IS NULL OR tick >= reach)").drop("side", "reach", "end")
+    return rows.where("_side = 1 AND (reach IS NULL OR tick >= reach)").drop("_side", "reach", "end")
 
 
 def gaps(windows: DataFrame, keys: list[str]) -> DataFrame:
