@@ -6,10 +6,12 @@ window of `least` bytes has an anchor, the least hash among its GRAM-byte grams,
 one anchor hash are sorted together. Equal windows have equal anchors, so no repeat is parted.
 
 1. Equal texts are one text, named by its least doc_id. Texts are written once, bucketed by it.
-2. Anchors that only one text has are dropped: they are counted first, then semi-joined.
-3. Runs of windows with one anchor are cut out of the texts, at most 84 bytes each. Equal runs are
-   one content with its least and greatest doc_id; the occurrences stay in a table.
-4. Contents of one anchor are sorted by suffix. A stack scan over common-prefix lengths gives the
+2. Anchors that only one text has are dropped. Runs meet by anchor to tell; those of anchors that a
+   sample shows in very many texts are repeated anyway and are spread by text.
+3. Runs of windows with one anchor are at most 84 bytes each. Equal runs, by anchor and a 64-bit hash
+   of their bytes, are one content with its least and greatest doc_id; the occurrences stay in a
+   table. A content that has its anchor alone is a maximal repeat as it is.
+4. Of the others the bytes are cut out, once a content, and those of one anchor sorted by suffix. A stack scan over common-prefix lengths gives the
    interval tree. An interval is a maximal repeat if what stands left of its members differs or the
    run begins there: these are the groups, with every member, not just neighbours. A group of
    occurrences is its members' contents and their occurrences; repeats longer than a run are groups
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, drop_path, free_shuffles, new_path, text_of, written
@@ -46,7 +48,7 @@ _TOGETHER = 128_000
 #: Suffixes that are sorted together, about.
 _SUFFIXES = 200_000
 #: Contents of one anchor that are sorted in one task, at most; more are taken by window.
-CROWD = 2_000
+CROWD = 20_000
 _GROUPS = "ARRAY<STRUCT<group: BIGINT, offset: INT, length: INT, first: BIGINT>>"
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -111,6 +113,8 @@ def _runs(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _anchors(least: int):
+    """The distinct anchors of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -124,54 +128,102 @@ def _anchors(least: int):
     return run
 
 
-def _placed(least: int):
+def _placed(least: int, common: np.ndarray, parts: int):
+    """All runs; part: 0, but for common anchors 1 to parts by text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 ids = some.column(0).to_numpy()
                 text, first, last, h = _runs(some.column(1).to_pylist(), least)
+                own, anchor = ids[text], h.view(np.int64)
+                part = np.where(np.isin(anchor, common), (own ^ (own >> 17)) % parts + 1, 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(ids[text]), pa.array(first << 8 | last - first)], ["anchor", "id", "run"]
+                    [pa.array(anchor), pa.array(part), pa.array(own), pa.array(first << 8 | last - first)], ["anchor", "part", "id", "run"]
                 )
 
     return run
 
 
-def _cut_out(least: int):
-    names = ["anchor", "content", "before", "id", "start"]
+def _hashed(least: int):
+    """A 64-bit hash of each run's bytes, from the hashes of six of its grams, which together cover it."""
+    names = ["anchor", "c1", "id", "start", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            anchors, runs = batch.column(2), batch.column(3)
-            for at in range(0, len(ids), 200):
-                rows = []
-                for i in range(at, min(at + 200, len(ids))):
-                    text = texts[i]
-                    for h, r in zip(anchors[i].as_py(), runs[i].as_py(), strict=True):
-                        a = r >> 8
-                        rows.append((h, text[a : a + (r & 255) + least], text[a - 1] if a else -1, ids[i], a))
-                if rows:
-                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for at in range(0, batch.num_rows, 40):
+                some = batch.slice(at, 40)
+                texts = some.column(1).to_pylist()
+                starts = np.cumsum([0, *map(len, texts)])[:-1]
+                grams = _gram_hashes(np.frombuffer(b"".join(texts), dtype=np.uint8))
+                lists = some.column(3)
+                text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+                runs = lists.flatten().to_numpy()
+                first, size = runs >> 8, (runs & 255) + least
+                place, last = starts[text] + first, size - GRAM
+                h = size.astype(np.uint64) * _M1
+                for step in (0, 16, 32, 48, 64):
+                    h = (h ^ (h >> np.uint64(29))) * _M2 + grams[place + np.minimum(step, last)]
+                h = (h ^ (h >> np.uint64(29))) * _M2 + grams[place + last]
+                ids = some.column(0).to_numpy()[text]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(2).flatten(), pa.array(h.view(np.int64)), pa.array(ids), pa.array(first), pa.array(size.astype(np.int32))], names
+                )
 
     return run
 
 
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of contents: (text, items of anchor, c1, start, size, low, high, n) to a row a content."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            some = batch.slice(at, 100)
+            texts = some.column(0).to_pylist()
+            starts = np.cumsum([0, *map(len, texts)])[:-1]
+            data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+            lists = some.column(1)
+            text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+            items = lists.flatten()
+            part = dict(zip((f.name for f in items.type), items.flatten(), strict=True))
+            first, size = part["start"].to_numpy(), part["size"].to_numpy().astype(np.int64)
+            ends = np.cumsum(size)
+            # Byte by byte: from where each content's bytes come.
+            place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[text] + first - (ends - size), size)
+            offsets = pa.py_buffer(np.r_[0, ends].astype(np.int32).tobytes())
+            contents = pa.Array.from_buffers(pa.binary(), len(size), [None, offsets, pa.py_buffer(data[place].tobytes())])
+            yield pa.RecordBatch.from_arrays(
+                [part["anchor"], part["c1"], contents, part["low"], part["high"], part["n"]], ["anchor", "c1", "content", "low", "high", "n"]
+            )
+
+
 class SuffixArray:
-    """Sorted suffixes of contents, of `least` bytes or more, with common-prefix lengths; groups are sorted apart."""
+    """Sorted suffixes of contents with common-prefix lengths; groups are sorted apart.
+
+    Suffixes are those of `least` bytes or more that may have as much in common with another.
+    """
 
     def __init__(self, contents: list[bytes], groups: np.ndarray, least: int):
         sizes = np.fromiter(map(len, contents), np.int64, len(contents))
         n = np.maximum(sizes - least + 1, 0)
-        self.content = np.repeat(np.arange(len(contents)), n)
-        self.offset = np.arange(len(self.content)) - np.repeat(np.cumsum(n) - n, n)
-        self.rest = sizes[self.content] - self.offset
         width = -(-int(sizes.max(initial=least)) // 8) * 8
-        data = np.frombuffer(b"".join(c.ljust(2 * width, b"\0") for c in contents), dtype=np.uint8)
-        at = self.content * 2 * width + self.offset
+        data = np.frombuffer(b"".join([*contents, bytes(width)]), dtype=np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        content = np.repeat(np.arange(len(contents)), n)
+        offset = np.arange(len(content)) - np.repeat(np.cumsum(n) - n, n)
+        # A suffix whose first `least` bytes no other has, by a hash of them, is in no interval.
+        grams = _gram_hashes(data)
+        place = starts[content] + offset
+        h = groups[content].astype(np.uint64) * _M1
+        for step in (*range(0, least - GRAM, GRAM), least - GRAM):
+            h = (h ^ (h >> np.uint64(29))) * _M2 + grams[place + step]
+        slot = ((h ^ (h >> np.uint64(32))) * _M1 >> np.uint64(42)).astype(np.int64)
+        met = (np.bincount(slot, minlength=1 << 22) > 1)[slot]
+        self.content, self.offset, at = content[met], offset[met], place[met]
+        self.rest = sizes[self.content] - self.offset
+        # Beyond a content's end its bytes are 0, so that they tell nothing.
         self.bytes = data[at[:, None] + np.arange(width)]
+        self.bytes[np.arange(width) >= self.rest[:, None]] = 0
         keys = self.bytes.view(">u8").astype(np.uint64)
         order = np.lexsort((self.rest, *keys.T[::-1], groups[self.content]))
         for name in ("content", "offset", "rest", "bytes"):
@@ -220,23 +272,33 @@ def interval_tree(common: list[int], least: int, low: list[int], high: list[int]
 
 
 def _scan(contents: list[bytes], groups: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> list[tuple[int, int, int, int, int]]:
-    """(content, offset, length, group, least id) of every member of every maximal repeat of two documents or more."""
-    sa = SuffixArray(contents, groups, least)
-    tree = interval_tree(
-        sa.common.tolist(), least, low[sa.content].tolist(), high[sa.content].tolist(), sa.before.tolist()
-    )
-    content, offset = sa.content.tolist(), sa.offset.tolist()
-    out, group = [], 0
-    for length, a, b, lo, hi, diverse in tree:
-        if diverse and lo != hi:
-            out += [(content[k], offset[k], length, group, lo) for k in range(a, b + 1)]
+    """(content, offset, length, group, least id) of every member of every maximal repeat of two documents or more.
+
+    groups: the number of each content's anchor, ascending. A content that has its anchor alone needs
+    no sorting: all its windows have the same occurrences, so it is the one maximal repeat.
+    """
+    new = np.r_[True, groups[1:] != groups[:-1], True]
+    lone = new[:-1] & new[1:]
+    shared = low != high
+    out = [(k, 0, len(contents[k]), n, int(low[k])) for n, k in enumerate(np.flatnonzero(lone & shared).tolist())]
+    rest = np.flatnonzero(~lone)
+    if not len(rest):
+        return out
+    sa = SuffixArray([contents[k] for k in rest.tolist()], groups[rest], least)
+    lo, hi = low[rest], high[rest]
+    tree = interval_tree(sa.common.tolist(), least, lo[sa.content].tolist(), hi[sa.content].tolist(), sa.before.tolist())
+    content, offset, group = rest[sa.content].tolist(), sa.offset.tolist(), len(out)
+    for length, a, b, first, last, diverse in tree:
+        if diverse and first != last:
+            out += [(content[k], offset[k], length, group, first) for k in range(a, b + 1)]
             group += 1
-    # A content of several documents is a repeat by itself, unless a suffix tree's inner node already is that string.
-    top = np.maximum(sa.common[:-1], sa.common[1:]) if len(content) else sa.common[:0]
-    alone = np.flatnonzero((sa.offset == 0) & (low[sa.content] != high[sa.content]) & (sa.rest > top))
-    for k in alone.tolist():
-        c = content[k]
-        out.append((c, 0, int(sa.rest[k]), group, int(low[c])))
+    # A content of several documents is a repeat by itself, unless an inner node of the tree already is that string.
+    size = np.array([len(contents[k]) for k in rest.tolist()])
+    inner = np.zeros(len(rest), dtype=np.int64)
+    heads = np.flatnonzero(sa.offset == 0)
+    inner[sa.content[heads]] = np.maximum(sa.common[heads], sa.common[heads + 1])
+    for k in np.flatnonzero((lo != hi) & (size > inner)).tolist():
+        out.append((int(rest[k]), 0, int(size[k]), group, int(lo[k])))
         group += 1
     return out
 
@@ -244,24 +306,21 @@ def _scan(contents: list[bytes], groups: np.ndarray, low: np.ndarray, high: np.n
 def _grouped(least: int):
     kind = pa.list_(pa.struct([("group", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("first", pa.int64())]))
 
-    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        rows = pa.Table.from_batches(held)
+    def of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
         anchors = rows["anchor"].to_numpy()
-        new = np.r_[True, anchors[1:] != anchors[:-1]]
-        groups = np.cumsum(new)
-        low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
-        # An anchor with one content of one text has no repeats.
-        found = _scan(rows["content"].to_pylist(), groups, low, high, least)
-        if not found:
-            return None
-        by: dict[int, list[dict]] = {}
-        for c, offset, length, group, lo in found:
-            by.setdefault(c, []).append({"group": group, "offset": offset, "length": length, "first": lo})
-        at = pa.array(list(by), pa.int64())
-        base = anchors[np.fromiter(by, np.int64, len(by))]
+        groups = np.cumsum(np.r_[True, anchors[1:] != anchors[:-1]])
+        found = _scan(rows["content"].to_pylist(), groups, rows["low"].to_numpy(), rows["high"].to_numpy(), least)
+        found = np.array(found, dtype=np.int64).reshape(-1, 5)
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        at, first = np.unique(found[:, 0], return_index=True)
         # A group's number is its anchor's hash and its place within the batch, mixed.
-        lists = [[m | {"group": int((np.int64(b) ^ np.int64(m["group"] * 0x5851F42D4C957F2D % (1 << 63))))} for m in v] for b, v in zip(base, by.values(), strict=True)]
-        return pa.RecordBatch.from_arrays([rows["c1"].take(at).combine_chunks(), rows["c2"].take(at).combine_chunks(), pa.array(lists, kind)], ["c1", "c2", "groups"])
+        number = anchors[found[:, 0]] ^ ((found[:, 3].view(np.uint64) + np.uint64(1)) * _M1).view(np.int64)
+        fields = [pa.array(number), pa.array(found[:, 1].astype(np.int32)), pa.array(found[:, 2].astype(np.int32)), pa.array(found[:, 4])]
+        items = pa.StructArray.from_arrays(fields, fields=list(kind.value_type))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(found)].astype(np.int32)), items)
+        keys = [rows[k].chunk(0).take(pa.array(at)) if rows.num_rows else rows[k] for k in ("anchor", "c1")]
+        return pa.RecordBatch.from_arrays([*keys, lists], ["anchor", "c1", "groups"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -278,13 +337,12 @@ def _grouped(least: int):
                     change = np.flatnonzero(anchors != last)
                     if len(change):
                         held.append(some.slice(0, int(change[0])))
-                        if (out := of(held)) is not None:
-                            yield out
+                        yield of(held)
                         held, size, some = [], 0, some.slice(int(change[0]))
                 held.append(some)
                 size += some.num_rows
-        if held and (out := of(held)) is not None:
-            yield out
+        if held:
+            yield of(held)
 
     return run
 
@@ -323,36 +381,61 @@ class Repeats:
         self.rows = written(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), digest), "repeat-rows")
         self.firsts = written(self.rows.groupBy("digest").agg(F.min("id").alias("first")), "repeat-firsts")
         # Long texts only, and each once.
-        named = rows.where(F.octet_length("text") >= least).withColumn("digest", F.unhex(F.sha2("text", 256)))
-        named = named.join(self.firsts, (F.col("id") == F.col("first")) & (named["digest"] == self.firsts["digest"])).select("first", "text")
+        named = rows.where(F.octet_length("text") >= least)
+        named = named.join(self.firsts.select("first").hint("merge"), F.col("id") == F.col("first")).select("first", "text")
         self.name, self.path = f"repeat_texts_{uuid.uuid4().hex}", new_path(spark, "repeat-texts")
         named.write.bucketBy(buckets, "first").sortBy("first").format("parquet").option("compression", "zstd").saveAsTable(self.name, path=self.path)
         self.texts = spark.table(self.name)
         free_shuffles(spark)
 
-        anchors = self.texts.select("text").mapInArrow(_anchors(least), "anchor BIGINT")
-        shared = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
-        free_shuffles(spark)
-        placed = self.texts.select("first", "text").mapInArrow(_placed(least), "anchor BIGINT, id BIGINT, run BIGINT")
-        placed = placed.join(shared, "anchor", "left_semi")
-        placed = written(placed.groupBy("id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("run").alias("runs")), "repeat-runs")
+        placed = self.texts.select("first", "text").mapInArrow(
+            _placed(least, self._common(), buckets), "anchor BIGINT, part INT, id BIGINT, run BIGINT"
+        )
+        same = Window.partitionBy("anchor", "part")
+        placed = placed.withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same))
+        placed = placed.where("part > 0 OR low <> high").groupBy("id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("run").alias("runs"))
+        path = new_path(spark, "repeat-runs")
+        placed.write.option("compression", "zstd").parquet(path)
+        placed = spark.read.schema(placed.schema).parquet(path)
         free_shuffles(spark)
         cut = self.texts.join(placed, self.texts["first"] == placed["id"]).select("id", "text", "anchors", "runs")
-        cut = cut.mapInArrow(_cut_out(least), "anchor BIGINT, content BINARY, before INT, id BIGINT, start BIGINT")
-        c1, c2 = F.xxhash64("content").alias("c1"), F.xxhash64(F.lit("second"), "content").alias("c2")
-        self.occurrences = written(cut.select("anchor", c1, c2, "content", "id", "start"), "occurrences")
-        contents = self.occurrences.groupBy("anchor", "c1", "c2", "content").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        cut = cut.mapInArrow(_hashed(least), "anchor BIGINT, c1 BIGINT, id BIGINT, start BIGINT, size INT")
+        self.occurrences = written(cut, "occurrences")
+        drop_path(spark, path)
+        where = F.min(F.struct("id", "start", "size")).alias("at")
+        contents = self.occurrences.groupBy("anchor", "c1").agg(where, F.max("id").alias("high"))
+        contents = contents.select("anchor", "c1", F.col("at.id").alias("low"), "high", F.col("at.start").alias("start"), F.col("at.size").alias("size"))
         contents = written(contents, "contents")
         free_shuffles(spark)
-        crowds = written(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("anchor"), "crowds")
-        calm = contents.join(crowds, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "c1", "c2")
-        found = calm.select("anchor", "c1", "c2", "content", "low", "high").mapInArrow(
-            _grouped(least), f"c1 BIGINT, c2 BIGINT, groups {_GROUPS}"
-        )
+        several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        several = written(several, "anchors-several")
+        # A content that has its anchor alone is the one maximal repeat of all its windows.
+        lone = contents.join(several, "anchor", "left_anti").where("low <> high")
+        whole = F.array(F.struct(F.col("anchor").alias("group"), F.lit(0).alias("offset"), F.col("size").alias("length"), F.col("low").alias("first")))
+        item = F.struct("anchor", "c1", "start", "size", "low", "high", "n")
+        wanted = contents.join(several, "anchor").groupBy("low").agg(F.collect_list(item).alias("items"))
+        wanted = self.texts.join(wanted, self.texts["first"] == wanted["low"]).select("text", "items")
+        wanted = wanted.mapInArrow(_cut_out, "anchor BIGINT, c1 BIGINT, content BINARY, low BIGINT, high BIGINT, n BIGINT")
+        wanted = written(wanted, "contents-bytes")
+        free_shuffles(spark)
+        calm = wanted.where(F.col("n") <= crowd).drop("n").repartition("anchor").sortWithinPartitions("anchor", "c1")
+        found = calm.mapInArrow(_grouped(least), f"anchor BIGINT, c1 BIGINT, groups {_GROUPS}")
         found = written(found, "repeat-groups")
-        self.groups = found.unionByName(self._windows(contents.join(crowds, "anchor", "left_semi")))
+        found = found.unionByName(self._windows(wanted.where(F.col("n") > crowd)))
+        self.groups = found.unionByName(lone.select("anchor", "c1", whole.cast(_GROUPS).alias("groups")))
         free_shuffles(spark)
 
+    def _common(self) -> np.ndarray:
+        """Anchors that a thousandth of the texts have, or more, by a sample of a 64th of them.
+
+        They are repeated, and their runs needn't meet in one task to tell. A thousand times a text's
+        mean number of anchors bounds how many there are.
+        """
+        some = self.texts.where(F.pmod(F.xxhash64(F.lit("sample"), "first"), F.lit(64)) == 0)
+        often = max(8, some.count() // 1000)
+        counts = some.select("text").mapInArrow(_anchors(self.least), "anchor BIGINT").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+        return np.array(sorted(r["anchor"] for r in counts.where(F.col("n") >= often).select("anchor").collect()), dtype=np.int64)
+
     def _windows(self, contents: DataFrame) -> DataFrame:
         """The groups of contents whose anchor has too many for a task: each window is a string of its own.
 
@@ -367,13 +450,13 @@ class Repeats:
                 F.xxhash64(F.lit("second"), F.substring(F.col("content"), i + 1, F.lit(least))).alias("w2"),
             ),
         )
-        rows = contents.select("c1", "c2", "low", "high", F.explode(windows).alias("w"))
-        rows = written(rows.select("c1", "c2", "low", "high", "w.*"), "windows")
+        rows = contents.select("anchor", "c1", "low", "high", F.explode(windows).alias("w"))
+        rows = written(rows.select("anchor", "c1", "low", "high", "w.*"), "windows")
         shared = rows.groupBy("w1", "w2").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
         shared = written(shared.select("w1", "w2", "first"), "windows-shared")
         rows = rows.join(shared, ["w1", "w2"])
         member = F.struct(F.col("w1").alias("group"), "offset", F.lit(least).alias("length"), "first")
-        return written(rows.groupBy("c1", "c2").agg(F.collect_list(member).alias("groups")), "repeat-windows")
+        return written(rows.groupBy("anchor", "c1").agg(F.collect_list(member).alias("groups")), "repeat-windows")
 
     def close(self) -> None:
         """Drops the written texts; the other tables stay."""
@@ -382,13 +465,13 @@ class Repeats:
 
     def members(self) -> DataFrame:
         """(group, id, start, length): every occurrence of every maximal repeat group."""
-        rows = self.occurrences.select("c1", "c2", "id", "start").join(self.groups, ["c1", "c2"])
+        rows = self.occurrences.select("anchor", "c1", "id", "start").join(self.groups.hint("shuffle_hash"), ["anchor", "c1"])
         rows = rows.select("id", "start", F.explode("groups").alias("g"))
         return rows.select("g.group", "id", (F.col("start") + F.col("g.offset")).alias("start"), "g.length")
 
     def removed(self) -> DataFrame:
         """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; bytes also in a document of smaller id are removed."""
-        rows = self.occurrences.select("c1", "c2", "id", "start").join(self.groups, ["c1", "c2"])
+        rows = self.occurrences.select("anchor", "c1", "id", "start").join(self.groups.hint("shuffle_hash"), ["anchor", "c1"])
         earlier = F.filter("groups", lambda g: g["first"] < F.col("id"))
         rows = rows.select("id", "start", earlier.alias("groups")).where(F.size("groups") > 0)
         starts = F.transform("groups", lambda g: F.col("start") + g["offset"])
@@ -399,7 +482,7 @@ class Repeats:
         free_shuffles(self.spark)
         kept = self.texts.join(spans, self.texts["first"] == spans["id"], "left").select("first", "text", "starts", "ends")
         kept = kept.mapInArrow(_removed, "first BIGINT, removed BIGINT, spans BIGINT, sha256 STRING")
-        kept = written(self.firsts.join(kept, "first"), "repeat-kept")
+        kept = written(self.firsts.join(kept, "first").dropDuplicates(["first"]), "repeat-kept")
         whole = self.rows.join(kept, "digest", "left")
         own, empty = F.col("id") == F.col("first"), hashlib.sha256().hexdigest()
         # Texts that are too short keep all; copies keep nothing.
