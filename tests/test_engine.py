@@ -98,3 +98,33 @@ def test_live_edges_are_the_batch_edges(spark, tmp_path):
     q.stop()
     found = spark.table("live_edges")
     assert found.where("channel = 'b'").count() == 2 and found.where("channel = 'a'").agg(F.max("tick")).first()[0] == 12
+
+
+def test_bus_tables_read_spi_and_time_i2c(spark):
+    from wavespark.operators import bus
+    from wavespark.sources import generate as gen
+
+    e = gen.edges(spark, {"s": gen.spi([(b"\x9f\x01", b"\x00\x00"), (b"\x05\xff", b"\x00\x00")])})
+    found = bus.words(bus.frames_select(bus.sync_bits(e, "clk", "mosi"), e, "cs"), 8).orderBy("s").collect()
+    assert [(r["value"], r["bits"]) for r in found] == [(0x9F, 8), (0x01, 8), (0x05, 8), (0xFF, 8)]
+    e = gen.edges(spark, {"i": gen.i2c([(0x44, False, b"\x24", b"")], 100)})
+    times = {r["name"]: r["least"] for r in bus.i2c_times(e).collect()}
+    assert times["t_high"] == 100 and times["t_low"] >= 100 and times["t_hd_sta"] == 100 and times["t_su_sto"] == 100
+    kinds = [r["kind"] for r in bus.startstop(e).orderBy("tick").collect()]
+    assert kinds == ["START", "STOP"]
+
+
+def test_nine_bit_words_are_transactions(spark):
+    from wavespark.operators import bus
+
+    w = spark.createDataFrame([("b", 0, 0, 10, 0x88 << 1, 9), ("b", 0, 1, 20, 0x24 << 1, 9), ("b", 0, 2, 30, (0xFF << 1) | 1, 9)], "bus STRING, frame INT, word BIGINT, s BIGINT, value BIGINT, bits BIGINT")
+    r = bus.transactions(w).first()
+    assert (r["addr"], r["rw"], r["bytes"], r["acks"]) == (0x44, "w", "24ff", [True, True, False])
+
+
+def test_command_line(tmp_path, capsys, spark):
+    from wavespark import cli
+
+    (tmp_path / "x.bin").write_bytes(b"$timescale 1 ns $end $var wire 1 ! a $end $enddefinitions $end #0 0! #4 1! #8 0! #12 1! #20 0!")
+    assert cli.main(["info", str(tmp_path)]) == 0 and '"channel":"a"' in capsys.readouterr().out
+    assert cli.main(["survey", str(tmp_path)]) == 0 and '"edges":4' in capsys.readouterr().out

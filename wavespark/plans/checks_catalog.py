@@ -148,3 +148,60 @@ def explanation_packing(spark, d):
     found = search.analyze(spark.createDataFrame(rows, "channel STRING, tick BIGINT, initial INT"))
     flat = [(c["protocol"], json.dumps(c["roles"], sort_keys=True), c["total"], c["margin"], c["verdict"]) for c in found]
     return spark.createDataFrame(flat, "protocol STRING, roles STRING, total DOUBLE, margin DOUBLE, verdict STRING")
+
+
+def _i2c(spark):
+    return gen.edges(spark, {f"bus{k}": gen.i2c([(0x40 + k, False, bytes([k, 2 * k]), b""), (0x40 + k, True, bytes([7, k]), b"")], 50 + k) for k in range(8)})
+
+
+@query()
+def i2c_words(spark, d):
+    """The declarative way: bits at clock rises, frames between START and STOP, words of nine."""
+    from wavespark.operators import bus
+
+    e = _i2c(spark)
+    marks = bus.startstop(e).withColumn("frame", F.lit(1))
+    return marks.groupBy("bus", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def i2c_timing(spark, d):
+    from wavespark.operators import bus
+
+    return bus.i2c_times(_i2c(spark))
+
+
+@query()
+def spi_words(spark, d):
+    from wavespark.operators import bus
+
+    e = gen.edges(spark, {f"s{k}": gen.spi([(bytes([k, 255 - k]), bytes([1, 2]))] * 3, 40 + k) for k in range(6)})
+    return bus.words(bus.frames_select(bus.sync_bits(e, "clk", "mosi"), e, "cs"), 8)
+
+
+@query(
+    """WITH c AS (SELECT tick, 0 AS side, NULL::BIGINT AS bit FROM l WHERE channel = 'view'), k AS (SELECT tick FROM l WHERE channel = 'click' AND level = 1),
+v AS (SELECT k.tick, coalesce(r.level, 0)::INTEGER AS bit FROM k ASOF LEFT JOIN (SELECT tick, level FROM l WHERE channel = 'view') r ON k.tick >= r.tick)
+SELECT 'x' AS bus, tick, bit FROM v""",
+    _TYPES,
+)
+def sync_bits(spark, d):
+    from wavespark.operators import bus
+
+    e = E.only(types(spark, d), ["click", "view"]).select(F.lit("x").alias("bus"), F.col("channel").alias("role"), "tick", F.lit(0).alias("initial"))
+    return bus.sync_bits(e, "click", "view")
+
+
+@query(
+    """WITH k AS (SELECT tick FROM l WHERE channel = 'click' AND level = 1),
+v AS (SELECT k.tick, coalesce(r.level, 0)::BIGINT AS bit FROM k ASOF LEFT JOIN (SELECT tick, level FROM l WHERE channel = 'view') r ON k.tick >= r.tick),
+g AS (SELECT tick, bit, tick - lag(tick) OVER (ORDER BY tick) AS gap FROM v), m AS (SELECT quantile_cont(gap, 0.5) AS md FROM g),
+f AS (SELECT tick, bit, sum(CASE WHEN coalesce(gap > 3 * (SELECT md FROM m), false) THEN 1 ELSE 0 END) OVER (ORDER BY tick) AS frame FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY tick) - 1 AS k FROM f)
+SELECT 'x' AS bus, frame::BIGINT AS frame, (k // 8)::BIGINT AS word, min(tick) AS s, sum(bit * (1 << (7 - k % 8)::INTEGER))::BIGINT AS value, count(*) AS bits FROM n GROUP BY frame, k // 8""",
+    _TYPES,
+)
+def words8(spark, d):
+    from wavespark.operators import bus
+
+    return bus.words(bus.frames_gap(sync_bits(spark, d)), 8)
