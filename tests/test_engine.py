@@ -128,3 +128,16 @@ def test_command_line(tmp_path, capsys, spark):
     (tmp_path / "x.bin").write_bytes(b"$timescale 1 ns $end $var wire 1 ! a $end $enddefinitions $end #0 0! #4 1! #8 0! #12 1! #20 0!")
     assert cli.main(["info", str(tmp_path)]) == 0 and '"channel":"a"' in capsys.readouterr().out
     assert cli.main(["survey", str(tmp_path)]) == 0 and '"edges":4' in capsys.readouterr().out
+
+
+def test_orders_by_stretches_are_the_whole_order(spark):
+    from wavespark.operators import order
+
+    ticks = np.unique(np.random.default_rng(4).integers(0, 10_000, 300)).tolist()
+    df = spark.createDataFrame([(t, t % 5) for t in ticks], "tick BIGINT, n BIGINT")
+    for n in (1, 7, 4096):
+        sums = [r["s"] for r in order.running(df, "tick", {"s": "n"}, n).orderBy("tick").collect()]
+        assert sums == np.cumsum([t % 5 for t in ticks]).tolist()
+        near = [(r["before"], r["after"]) for r in order.neighbours(df, "tick", n).orderBy("tick").collect()]
+        assert near == list(zip([None, *ticks[:-1]], [*ticks[1:], None], strict=True))
+    assert order.neighbours(df.limit(0), "tick").count() == 0

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 
 def LINE():  # noqa: N802
     """The order of one line's edges."""
@@ -77,12 +79,11 @@ def directions(edges: DataFrame, edge: str) -> DataFrame:
 def states(edges: DataFrame, lines: list[str]) -> DataFrame:
     """Joint states of several lines: a row for each tick on which any changes, a level column a line.
 
-    A bounded number of lines makes one sequence; `key` could part it, by capture and part.
+    A level is the parity of a line's edges so far, so that running sums over the one order suffice.
     """
-    rows = edge_levels(edges.where(F.col("channel").isin(lines)))
-    order = Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    one = rows.groupBy("tick").agg(*(F.max(F.when(F.col("channel") == c, F.col("level"))).alias(c) for c in lines))
-    return one.select("tick", *(F.coalesce(F.last(c, ignorenulls=True).over(order), F.lit(0)).cast("long").alias(c) for c in lines))
+    one = edges.where(F.col("channel").isin(lines)).groupBy("tick").agg(*(F.count_if(F.col("channel") == c).alias(f"_n{k}") for k, c in enumerate(lines)))
+    rows = running(one, "tick", {c: f"_n{k}" for k, c in enumerate(lines)})
+    return rows.select("tick", *((F.col(c) % 2).cast("long").alias(c) for c in lines))
 
 
 def only(edges: DataFrame, lines: list[str]) -> DataFrame:

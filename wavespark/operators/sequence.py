@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .edges import LINE
-from .joins import gaps
+from .order import neighbours, running
 
 
 def burst_split(edges: DataFrame, ratio: float = 3.0) -> DataFrame:
@@ -116,24 +116,25 @@ def line_states(edges: DataFrame, start: int, end: int, tol: float = 0.02, least
 
 def quiet(edges: DataFrame, gap: int) -> DataFrame:
     """(start, end): stretches in which no line is busy, a line being busy for gap ticks after each change."""
-    one = edges.select("tick").distinct().select(F.lit(0).alias("all"), F.col("tick").alias("start"), (F.col("tick") + gap).alias("end"))
-    return gaps(one, ["all"]).select("start", "end")
+    rows = neighbours(edges.select("tick").distinct(), "tick").where(F.col("after") > F.col("tick") + gap)
+    return rows.select((F.col("tick") + gap).alias("start"), F.col("after").alias("end"))
 
 
 def piece_plan(edges: DataFrame, gap: int, most: int) -> DataFrame:
     """(piece, start, end, edges): the capture cut at quiet stretches into pieces of about `most` edges.
 
-    Quiet stretches bound blocks; blocks go to the piece that their first edge's number names.
+    A block begins where nothing changed for over gap; it goes to the piece that the number of edges
+    before it names. Pieces are as few as edges by `most`, and are ordered among themselves.
     """
     ticks = edges.groupBy("tick").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.orderBy("tick")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = ticks.withColumn("_new", F.coalesce(F.col("tick") - F.lag("tick").over(order) > gap, F.lit(True)).cast("int"))
-    rows = rows.withColumn("block", F.sum("_new").over(upto))
-    blocks = rows.groupBy("block").agg(F.min("tick").alias("start"), F.max("tick").alias("end"), F.sum("n").alias("edges"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("piece", F.floor(F.coalesce(F.sum("edges").over(before), F.lit(0)) / most).cast("long"))
-    return blocks.groupBy("piece").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("edges").alias("edges"))
+    rows = running(neighbours(ticks, "tick"), "tick", {"upto": "n"})
+    heads = rows.where((F.col("before").isNull()) | (F.col("tick") - F.col("before") > gap))
+    heads = heads.select("tick", "before", (F.col("upto") - F.col("n")).alias("done")).withColumn("piece", F.floor(F.col("done") / most))
+    pieces = heads.groupBy("piece").agg(F.min("tick").alias("start"), F.min("done").alias("done"), F.min_by("before", "tick").alias("before"))
+    last = ticks.agg(F.max("tick").alias("last"), F.sum("n").alias("every"))
+    order = Window.orderBy("piece")
+    rows = pieces.withColumn("_end", F.lead("before").over(order)).withColumn("_done", F.lead("done").over(order)).join(F.broadcast(last))  # one row
+    return rows.select("piece", "start", F.coalesce("_end", "last").alias("end"), (F.coalesce("_done", "every") - F.col("done")).alias("edges"))
 
 
 def rate_segments(periods: DataFrame, change: float = 1.5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .edges import LINE, edge_levels, runs
+from .order import neighbours, running
 
 
 def size_class(length: Column) -> Column:
@@ -78,15 +79,10 @@ def longest_stills(edges: DataFrame, start: int, end: int, top: int = 10) -> Dat
 
 
 def all_still(edges: DataFrame, start: int, end: int, top: int = 10) -> DataFrame:
-    """The longest stretches in which no line changes.
-
-    Ticks are reduced to one row each before they are ordered; ranges of the order are found by Spark.
-    """
-    one = edges.select("tick").distinct()
-    order = Window.orderBy("tick")
-    rows = one.withColumn("next", F.coalesce(F.lead("tick").over(order), F.lit(end)))
-    first = one.agg(F.min("tick").alias("next")).where("next IS NOT NULL").select(F.lit(start).cast("long").alias("tick"), "next")
-    rows = rows.unionByName(first).select(F.col("tick").alias("start"), (F.col("next") - F.col("tick")).alias("length"))
+    """The longest stretches in which no line changes."""
+    rows = neighbours(edges.select("tick").distinct(), "tick")
+    first = rows.where("before IS NULL").select(F.lit(start).cast("long").alias("start"), (F.col("tick") - start).alias("length"))
+    rows = rows.select(F.col("tick").alias("start"), (F.coalesce("after", F.lit(end)) - F.col("tick")).alias("length")).unionByName(first)
     return rows.orderBy(F.col("length").desc(), "start").limit(top)
 
 
@@ -131,8 +127,8 @@ def line_faults(edges: DataFrame, end: int, after: int = 16, close: int = 2, man
     """(channel, last, later, close_edges, stopped, oscillating): lines that stopped while others went on, or tremble."""
     own = edges.groupBy("channel").agg(F.max("tick").alias("last"), F.count(F.lit(1)).alias("n"))
     close_edges = edges.withColumn("gap", F.col("tick") - F.lag("tick").over(LINE())).groupBy("channel").agg(F.count_if(F.col("gap") <= close).alias("close_edges"))
-    order = Window.orderBy(F.col("tick").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    counts = edges.groupBy("tick").agg(F.count(F.lit(1)).alias("n"))
-    later = counts.select(F.col("tick").alias("last"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("later"))
+    upto = running(edges.groupBy("tick").agg(F.count(F.lit(1)).alias("n")), "tick", {"upto": "n"})
+    every = edges.agg(F.count(F.lit(1)).alias("every"))
+    later = upto.join(F.broadcast(every)).select(F.col("tick").alias("last"), (F.col("every") - F.col("upto")).alias("later"))  # one row
     rows = own.join(later, "last").join(close_edges, "channel")
     return rows.select("channel", "last", "later", "close_edges", (F.col("later") >= after).alias("stopped"), (F.col("close_edges") >= many).alias("oscillating"))

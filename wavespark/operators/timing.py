@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .edges import directions, states
 from .joins import asof_backward, asof_forward, mutual_nearest, nearest_distance
+from .order import neighbours
 
 ONE = ["pair"]
 
@@ -43,9 +44,15 @@ def skew(edges: DataFrame, a: str, b: str, edge: str = "rise") -> DataFrame:
 def quadrature(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(forward, backward, errors) of the two lines' Gray code."""
     rows = states(edges, [a, b]).withColumn("now", F.col(a) * 2 + F.col(b))
-    rows = rows.withColumn("before", F.lag("now").over(Window.orderBy("tick")))
-    step = F.col("before") * 4 + F.col("now")
-    return rows.where("before IS NOT NULL AND before <> now").agg(
+    # The state before is told by which lines changed on the tick.
+    moved = edges.where(F.col("channel").isin(a, b)).groupBy("tick").agg(
+        (2 * F.max((F.col("channel") == a).cast("long")) + F.max((F.col("channel") == b).cast("long"))).alias("moved")
+    )
+    rows = rows.join(moved, "tick")
+    start = edges.where(F.col("channel").isin(a, b)).agg(F.min("tick").alias("first"))
+    rows = rows.join(F.broadcast(start), F.col("tick") > F.col("first"))  # one row
+    step = F.col("now").bitwiseXOR(F.col("moved")) * 4 + F.col("now")
+    return rows.agg(
         F.count_if(step.isin(2, 11, 13, 4)).alias("forward"),
         F.count_if(step.isin(1, 7, 14, 8)).alias("backward"),
         F.count_if(step.isin(3, 6, 9, 12)).alias("errors"),
@@ -55,7 +62,7 @@ def quadrature(edges: DataFrame, a: str, b: str) -> DataFrame:
 def dead_times(edges: DataFrame, high: str, low: str) -> DataFrame:
     """(start, length, kind): stretches in which neither line of a half bridge is on (dead) or both are (overlap)."""
     rows = states(edges, [high, low])
-    rows = rows.withColumn("length", F.lead("tick").over(Window.orderBy("tick")) - F.col("tick"))
+    rows = neighbours(rows, "tick").withColumn("length", F.col("after") - F.col("tick"))
     on = F.col(high) + F.col(low)
     kind = F.when(on == 0, "dead").when(on == 2, "overlap")
     return rows.where(on.isin(0, 2) & F.col("length").isNotNull()).select(F.col("tick").alias("start"), "length", kind.alias("kind"))
