@@ -141,3 +141,29 @@ def test_orders_by_stretches_are_the_whole_order(spark):
         near = [(r["before"], r["after"]) for r in order.neighbours(df, "tick", n).orderBy("tick").collect()]
         assert near == list(zip([None, *ticks[:-1]], [*ticks[1:], None], strict=True))
     assert order.neighbours(df.limit(0), "tick").count() == 0
+
+
+def test_run_report_and_recorder(spark, tmp_path):
+    import json
+
+    from wavespark.plans import runlog
+
+    status = {r["check"]: r["status"] for r in checks_catalog.run_report(spark, "").collect()}
+    assert status == {"uart": "ok", "i2c": "ok", "can": "ok", "starts": "ok", "only_moving": "ng", "no_such_kind": "ng"}
+    r = runlog.Recorder(tmp_path / "run", board="x")
+    r.begin("one", 1)
+    r.expect(runlog.level("a"))
+    r.capture("a.vcd", 2, ["a"])
+    r.end(3)
+    doc = json.loads(r.close().read_text())
+    assert doc["expect"] == {"one": [{"kind": "level", "pin": "a"}]} and doc["captures"][0]["path"] == "one"
+
+
+def test_line_classes(spark):
+    from wavespark.operators import taxonomy
+
+    r = np.random.default_rng(1)
+    ticks = {"clk": list(range(0, 40_000, 20)), "data": np.cumsum(r.integers(1, 9, 900) * 40 + 10).tolist(), "rare": [5, 30_000]}
+    df = spark.createDataFrame([(c, int(t)) for c, ts in ticks.items() for t in ts], "channel STRING, tick BIGINT")
+    found = {(x["channel"], x["kind"]) for x in taxonomy.pin_classes(taxonomy.line_scores(df)).collect()}
+    assert ("clk", "clock") in found and ("data", "data") in found and ("rare", "sparse") in found and ("data", "clock") not in found

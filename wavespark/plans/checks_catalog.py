@@ -205,3 +205,35 @@ def words8(spark, d):
     from wavespark.operators import bus
 
     return bus.words(bus.frames_gap(sync_bits(spark, d)), 8)
+
+
+@query()
+def line_scores(spark, d):
+    from wavespark.operators import taxonomy
+
+    return taxonomy.line_scores(users(spark, d))
+
+
+@query()
+def pin_classes(spark, d):
+    from wavespark.operators import taxonomy
+
+    return taxonomy.pin_classes(taxonomy.line_scores(users(spark, d)))
+
+
+@query()
+def run_report(spark, d):
+    """A whole run's expectations on the pins of a mixed capture."""
+    from wavespark.plans import runlog
+
+    rows = [(c, t, i) for c, (i, ts) in mixed_pins().items() for t in ts]
+    e = spark.createDataFrame(rows, "channel STRING, tick BIGINT, initial INT")
+    wanted = [
+        runlog.uart("p0", 1e4, b"The quick brown fox jumps over the lazy dog"),
+        runlog.i2c("p2", "p1", [{"addr": 0x44, "rw": "w", "bytes": "2400"}] * 8),
+        runlog.can("p3", 1e4, [{"id": 0x100 + k, "data": bytes([k, 255 - k]).hex()} for k in range(12)]),
+        runlog.starts({"p0": 0, "p3": 0}),
+        runlog.only_moving(["p0", "p1", "p2"]),
+        runlog.expectation("no_such_kind"),
+    ]
+    return runlog.verify_run(e, wanted, 1e6, (0, 1 << 40))
