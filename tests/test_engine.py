@@ -167,3 +167,23 @@ def test_line_classes(spark):
     df = spark.createDataFrame([(c, int(t)) for c, ts in ticks.items() for t in ts], "channel STRING, tick BIGINT")
     found = {(x["channel"], x["kind"]) for x in taxonomy.pin_classes(taxonomy.line_scores(df)).collect()}
     assert ("clk", "clock") in found and ("data", "data") in found and ("rare", "sparse") in found and ("data", "clock") not in found
+
+
+def test_reading_of_a_bus(spark):
+    from wavespark.plans import reading
+
+    assert abs(reading.binomial_tail(10, 0, 0.3) - 1) < 1e-12 and abs(reading.binomial_tail(2, 2, 0.5) - 0.25) < 1e-12
+    sizes = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 5, 8, 9)], "n BIGINT").select(reading.size_bin(F.col("n")))
+    assert [r[0] for r in sizes.collect()] == ["1", "2", "3-4", "3-4", "5-8", "5-8", "9-16"]
+    speeds = reading.clock_speeds(spark.createDataFrame([(10.0,), (11.0,), (40.0,), (41.0,), (42.0,)], "period DOUBLE"))
+    assert sorted((r["frames"], r["fastest"]) for r in speeds.collect()) == [(2, 10.0), (3, 40.0)]
+    assert [r["fastest"] for r in reading.undersampled(speeds, 2.0).collect()] == [10.0]
+    items = spark.createDataFrame([("a", True)] * 200 + [("a", False)], "channel STRING, ok BOOLEAN")
+    none = spark.createDataFrame([("b", 1)], "channel STRING, start BIGINT")
+    found = {r["channel"]: (r["frames"], r["unread"], r["noisy"]) for r in reading.reading(items, none).collect()}
+    assert found == {"a": (201, 0, False), "b": (0, 1, True)}
+    clock = spark.createDataFrame([(t, 4, 10) for t in range(0, 100, 10)], "rise BIGINT, high BIGINT, period BIGINT")
+    frames = spark.createDataFrame([(0, 35), (60, 100)], "start BIGINT, end BIGINT")
+    assert [(r["period"], r["high"]) for r in reading.frame_clocks(clock, frames).collect()] == [(10.0, 4.0)] * 2
+    sd = spark.createDataFrame([("x", 1, '{"kind":"command"}'), ("x", 2, '{"kind":"answer"}'), ("x", 3, '{"kind":"command"}')], "bus STRING, s BIGINT, fields STRING")
+    assert [r["answer"] for r in reading.answered(sd).orderBy("s").collect()] == ['{"kind":"answer"}', None]

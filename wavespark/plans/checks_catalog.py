@@ -237,3 +237,48 @@ def run_report(spark, d):
         runlog.expectation("no_such_kind"),
     ]
     return runlog.verify_run(e, wanted, 1e6, (0, 1 << 40))
+
+
+@query(
+    """WITH u AS (SELECT channel, tick, CASE WHEN tick - lag(tick) OVER (PARTITION BY channel ORDER BY tick) > 3600000000 THEN 1 ELSE 0 END AS f FROM l),
+g AS (SELECT *, sum(f) OVER (PARTITION BY channel ORDER BY tick) AS burst FROM u),
+k AS (SELECT channel, min(tick) AS start, max(tick) AS "end", count(*) AS edges FROM g GROUP BY channel, burst),
+i AS (SELECT CAST(user_id AS VARCHAR) AS channel, epoch_us(ts) AS s, epoch_us(ts) + 1000 AS e FROM events WHERE event_type = 'purchase')
+SELECT channel, start, "end", edges, CASE WHEN edges <= 2 THEN edges::VARCHAR ELSE ((1 << ceil(log2(edges))::INTEGER) // 2 + 1)::VARCHAR || '-' || (1 << ceil(log2(edges))::INTEGER)::VARCHAR END AS size
+FROM k WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.channel = k.channel AND i.e >= k.start AND i.s <= k."end")""",
+    _USERS,
+)
+def unread_activity(spark, d):
+    from wavespark.plans import reading
+    from wavespark.sources.tables import micros, table
+
+    items = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("channel"), micros("ts").alias("s"), (micros("ts") + 1000).alias("e"))
+    return reading.unread(users(spark, d), items, 3_600_000_000)
+
+
+@query(
+    """WITH p AS (SELECT level, lead(tick, 2) OVER (PARTITION BY channel ORDER BY tick) - tick AS period FROM l),
+k AS (SELECT period // 3600000000 + 1 AS period, count(*) AS n FROM p WHERE level = 1 AND period IS NOT NULL GROUP BY 1),
+f AS (SELECT *, CASE WHEN coalesce(period > 1.25 * lag(period) OVER (ORDER BY period), false) THEN 1 ELSE 0 END AS f FROM k),
+g AS (SELECT *, sum(f) OVER (ORDER BY period) AS speed FROM f) SELECT speed::BIGINT AS speed, sum(n)::BIGINT AS frames, min(period) AS fastest FROM g GROUP BY speed""",
+    _USERS,
+)
+def clock_speeds(spark, d):
+    from wavespark.plans import reading
+
+    periods = E.pulse_rows(users(spark, d)).select((F.expr("period div 3600000000") + 1).alias("period"))
+    return reading.clock_speeds(periods)
+
+
+@query()
+def annotation_rows(spark, d):
+    from wavespark.plans import reading
+    from wavespark.plans.protocols_catalog import CASES
+    from wavespark.protocols.decode import decode
+
+    out = None
+    for name in ("can_frames", "i2c_transactions", "spi_bytes"):
+        signals, decoder = CASES[name]
+        rows = reading.annotations(decode(gen.edges(spark, signals), decoder))
+        out = rows if out is None else out.unionByName(rows)
+    return out
