@@ -187,3 +187,27 @@ def test_reading_of_a_bus(spark):
     assert [(r["period"], r["high"]) for r in reading.frame_clocks(clock, frames).collect()] == [(10.0, 4.0)] * 2
     sd = spark.createDataFrame([("x", 1, '{"kind":"command"}'), ("x", 2, '{"kind":"answer"}'), ("x", 3, '{"kind":"command"}')], "bus STRING, s BIGINT, fields STRING")
     assert [r["answer"] for r in reading.answered(sd).orderBy("s").collect()] == ['{"kind":"answer"}', None]
+
+
+def test_more_checks(spark):
+    from wavespark.plans import runlog
+    from wavespark.protocols import serial
+    from wavespark.sources import generate as gen
+
+    def capture(**signals):
+        rows = [(f"{n}_{r}", t, i) for n, s in signals.items() for r, (i, ts) in s.items() for t in ts]
+        return spark.createDataFrame(rows, "channel STRING, tick BIGINT, initial INT")
+
+    pid = serial.lin_pid(0x10)
+    lin = gen.uart(bytes([0x55, pid, 9, serial.lin_sum(b"\x09", pid)]), break_bits=14)
+    e = capture(lin=lin, ir=gen.nec(4, 8, 0), i2s=gen.i2s([(5, -5), (6, -6)]), i2c=gen.i2c([(0x44, False, b"\x24", b"")]), step={"x": (0, [500])})
+    wanted = [
+        runlog.lin("lin_line", 1e4, [{"id": 0x10, "data": "09", "checksum": "enhanced"}]),
+        runlog.ir("ir_line", [{"address": 4, "command": 8}]),
+        runlog.i2s("i2s_bclk", "i2s_ws", "i2s_sd", [{"channel": "right", "sample": -5}, {"channel": "left", "sample": 6}, {"channel": "right", "sample": -6}]),
+        runlog.i2c_timing("i2c_scl", "i2c_sda", {"t_high": 100, "t_low": 90}),
+        runlog.becomes("step_x", 1),
+        runlog.becomes("step_x", 0),
+    ]
+    rows = [(r["check"], r["status"], r["reason"]) for r in runlog.verify_run(e, wanted, 1e6, (0, 10_000)).collect()]
+    assert [s for _, s, _ in rows] == ["ok", "ok", "ok", "ok", "ok", "ok", "ng"], rows

@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavespark.functions.verdicts import judge
-from wavespark.operators import timing
+from wavespark.operators import bus, timing
+from wavespark.operators.sequence import line_states
 from wavespark.plans import search, verify
-from wavespark.protocols import clocked, pulse, serial
+from wavespark.protocols import clocked, more, pulse, serial
 from wavespark.protocols.decode import decode
 
 
@@ -89,6 +90,40 @@ def onewire(pin: str, data: bytes, presence: bool = True) -> dict:
     return expectation("onewire", pin=pin, items=[{"bytes": data.hex(), "presence": presence}])
 
 
+def lin(pin: str, baud: float, frames: list[dict]) -> dict:
+    return expectation("lin", pin=pin, baud=baud, items=frames)
+
+
+def ir(pin: str, frames: list[dict]) -> dict:
+    return expectation("ir", pin=pin, items=frames)
+
+
+def i2s(bclk: str, ws: str, sd: str, samples: list[dict], bits: int = 16) -> dict:
+    return expectation("i2s", bclk=bclk, ws=ws, sd=sd, items=samples, bits=bits)
+
+
+def qspi(clk: str, cs: str, io: list[str], phases: list[tuple[str, int, int]], transfers: list[dict]) -> dict:
+    return expectation("qspi", clk=clk, cs=cs, io=io, phases=phases, items=transfers)
+
+
+def sd_spi(clk: str, mosi: str, miso: str, cs: str, commands: list[dict]) -> dict:
+    return expectation("sd_spi", clk=clk, mosi=mosi, miso=miso, cs=cs, items=commands)
+
+
+def rs485(tx: str, de: str, baud: float, data: list[bytes]) -> dict:
+    return expectation("rs485", tx=tx, de=de, baud=baud, items=[{"data": d.hex(), "ok": True} for d in data])
+
+
+def i2c_timing(scl: str, sda: str, limits: dict[str, float]) -> dict:
+    """limits: least ticks by name (t_low, t_high, t_su_dat, t_hd_sta, t_su_sto, t_buf)."""
+    return expectation("i2c_timing", scl=scl, sda=sda, limits=limits)
+
+
+def becomes(pin: str, value: int | None = None, period: float | None = None, rel: float = 0.02) -> dict:
+    """The pin ends at a level, or in a wave of a period in ticks, and changes to it once."""
+    return expectation("becomes", pin=pin, value=value, period=period, rel=rel)
+
+
 class Recorder:
     """Writes run.json: headings nest, and what is expected belongs to the heading that is open."""
 
@@ -171,6 +206,47 @@ register("rgb_led")(lambda e, x, hz, s: _items(e, x, {"line": x["pin"]}, lambda
 register("onewire")(lambda e, x, hz, s: _items(e, x, {"line": x["pin"]}, lambda w, h=hz: pulse.onewire(w["line"], h), ["bytes", "presence"]))
 
 
+register("lin")(lambda e, x, hz, s: _items(e, x, {"line": x["pin"]}, lambda w, u=hz / x["baud"]: serial.lin(w["line"], 1 << 60, u), ["id", "data", "checksum"]))
+register("ir")(lambda e, x, hz, s: _items(e, x, {"line": x["pin"]}, lambda w, h=hz: pulse.nec(w["line"], h), ["address", "command"]))
+register("i2s")(
+    lambda e, x, hz, s: _items(e, x, {"bclk": x["bclk"], "ws": x["ws"], "sd": x["sd"]}, lambda w, b=x["bits"]: clocked.i2s(w["bclk"], w["ws"], w["sd"], b), ["channel", "sample"])
+)
+register("qspi")(
+    lambda e, x, hz, s: _items(
+        e, x, {"clk": x["clk"], "cs": x["cs"]} | {f"io{k}": c for k, c in enumerate(x["io"])},
+        lambda w, n=len(x["io"]), ph=x["phases"]: more.qspi(w["clk"], w["cs"], [w[f"io{k}"] for k in range(n)], [tuple(p) for p in ph]), [p[0] for p in x["phases"]],
+    )
+)
+register("sd_spi")(
+    lambda e, x, hz, s: _items(
+        e, x, {k: x[k] for k in ("clk", "mosi", "miso", "cs")}, lambda w: more.sd_spi(clocked.spi(w["clk"], w["mosi"], w["miso"], w["cs"])), ["index", "argument", "r1"]
+    )
+)
+register("rs485")(lambda e, x, hz, s: _items(e, x, {"tx": x["tx"], "de": x["de"]}, lambda w, u=hz / x["baud"]: more.rs485(w["tx"], w["de"], 1 << 60, u), ["data", "ok"]))
+
+
+@register("i2c_timing")
+def _i2c_timing(e: DataFrame, x: dict, hz: float, s: tuple[int, int]) -> DataFrame:
+    """Every instance at or above its least; a name without instances can't be told."""
+    named = F.when(F.col("channel") == x["scl"], "scl").when(F.col("channel") == x["sda"], "sda")
+    found = bus.i2c_times(e.select(F.lit("bus").alias("bus"), named.alias("role"), "tick", "initial").where("role IS NOT NULL"))
+    want = e.sparkSession.createDataFrame([(k, float(v)) for k, v in x["limits"].items()], "name STRING, want DOUBLE")
+    rows = want.join(found, "name", "left").withColumn("channel", F.col("name"))
+    return verify._result(rows, "i2c_timing", judge(F.col("least"), 0.0, F.col("want")), F.col("least"), F.lit("too short"))
+
+
+@register("becomes")
+def _becomes(e: DataFrame, x: dict, hz: float, s: tuple[int, int]) -> DataFrame:
+    rows = line_states(e.where(F.col("channel") == x["pin"]), *s).groupBy("channel").agg(
+        F.max_by(F.struct("kind", "level", "period"), "t0").alias("last"), F.count(F.lit(1)).alias("stretches")
+    )
+    if "period" in x:
+        good = (F.col("last.kind") == "wave") & (F.abs(F.col("last.period") - x["period"]) <= x["rel"] * x["period"])
+    else:
+        good = (F.col("last.kind") == "level") & (F.col("last.level") == x["value"])
+    return verify._result(rows, "becomes", good & (F.col("stretches") <= 2), F.col("stretches"), F.lit("doesn't end as wanted, or changes more than once"))
+
+
 @register("phase")
 def _phase(e: DataFrame, x: dict, hz: float, s: tuple[int, int]) -> DataFrame:
     """Median lag of b after a as an angle of a's period, within the tolerance either way round."""
