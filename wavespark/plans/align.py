@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,8 +11,7 @@ def votes(reference: DataFrame, other: DataFrame, width: int, scales: list[float
 
     Pairs are of two bounded lists, 512 by 512 at most.
     """
-    order = Window.orderBy("tick")
-    first = lambda df: df.select("tick").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+    first = lambda df: df.select("tick").orderBy("tick").limit(most)
     lists = first(reference).agg(F.collect_list("tick").alias("a"))
     b = first(other).select(F.col("tick").alias("b"))
     rows = b.join(F.broadcast(lists)).select("b", F.explode("a").alias("a"), F.array(*(F.lit(float(s)) for s in scales)).alias("s"))

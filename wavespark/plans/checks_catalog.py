@@ -113,20 +113,20 @@ def check_report(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT tick FROM l WHERE channel = 'click' ORDER BY tick LIMIT 200),
+    """WITH p AS (SELECT tick FROM l WHERE channel = 'click' ORDER BY tick LIMIT 512),
 v AS (SELECT s AS scale, floor((x.tick - (y.tick - 7000000) * s) / 1000000)::BIGINT AS bin FROM p x, p y, (SELECT unnest([1.0::DOUBLE, 1.0001::DOUBLE]) AS s))
-SELECT scale, bin, count(*) AS votes FROM v GROUP BY scale, bin HAVING count(*) >= 3""",
+SELECT scale, bin, count(*) AS votes FROM v GROUP BY scale, bin HAVING count(*) >= 4""",
     _TYPES,
 )
 def affine_align_vote(spark, d):
-    own = E.only(types(spark, d), ["click"]).orderBy("tick").limit(200)
+    own = E.only(types(spark, d), ["click"])
     moved = own.select((F.col("tick") - 7_000_000).alias("tick"))
-    return align.votes(own, moved, 1_000_000, [1.0, 1.0001]).where("votes >= 3")
+    return align.votes(own, moved, 1_000_000, [1.0, 1.0001]).where("votes >= 4")
 
 
 @query()
 def align_offset(spark, d):
-    own = E.only(types(spark, d), ["click"]).orderBy("tick").limit(400)
+    own = E.only(types(spark, d), ["click"])
     found = align.find(own, own.select((F.col("tick") - 7_000_000).alias("tick")), 1_000_000)
     return spark.createDataFrame([(float(found["offset"]), float(found["scale"]), found["ambiguous"])], "offset DOUBLE, scale DOUBLE, ambiguous BOOLEAN")
 

@@ -50,15 +50,22 @@ register("ps2", ("clk", "data"), lambda x: clocked.ps2(x["clk"], x["data"]))
 register("rgb_led", ("line",), lambda x: pulse.rgb_led(x["line"], 1e9), lambda f: not f.get("extra_bits"))
 
 
-def _score(items: list[str], good: Callable[[dict], bool]) -> tuple[float, int]:
-    """Share of items that check, by how much evidence they are."""
-    fields = [json.loads(i) for i in items]
-    ok = sum(bool(good(f)) for f in fields)
-    return ((1 - 0.5**ok) * ok / len(fields) if fields else 0.0), ok
+def _summary(decoder: Callable, good: Callable[[dict], bool]) -> Callable:
+    """A decoder that gives one item: how many items there are and how many of them check."""
 
+    def run(lines: dict) -> list:
+        items = decoder(lines)
+        return [(0, 0, "summary", {"n": len(items), "ok": sum(bool(good(i[3])) for i in items)})] if items else []
 
-def hypotheses(edges: DataFrame, protocols: list[str] | None = None, most: int = 500) -> list[Hypothesis]:
-    """Every decoder on every choice of lines (channel, tick, initial); items are counted by Spark, scored here."""
+    return run
+
+
+def hypotheses(edges: DataFrame, protocols: list[str] | None = None) -> list[Hypothesis]:
+    """Every decoder on every choice of lines (channel, tick, initial).
+
+    A score is the share of items that check, by how much evidence they are. A choice of pins gives
+    one row; the choices are as many as the pins allow.
+    """
     lines = [r["channel"] for r in edges.select("channel").distinct().orderBy("channel").collect()]
     out = []
     for name in protocols or sorted(ANALYZERS):
@@ -66,11 +73,10 @@ def hypotheses(edges: DataFrame, protocols: list[str] | None = None, most: int =
         named = list(permutations(lines, len(roles)))
         rows = [(json.dumps(dict(zip(roles, p, strict=True))), c, r) for p in named for c, r in zip(p, roles, strict=True)]
         plan = edges.sparkSession.createDataFrame(rows, "bus STRING, channel STRING, role STRING")
-        found = decode(edges.join(F.broadcast(plan), "channel").select("bus", "role", "tick", "initial"), decoder)  # choices of a few pins
-        per = found.groupBy("bus").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list("fields")), 1, most).alias("some"))
-        for r in per.collect():
-            total, ok = _score(r["some"], good)
-            out.append(Hypothesis(name, json.loads(r["bus"]), total, r["n"], {"ok": ok}))
+        found = decode(edges.join(F.broadcast(plan), "channel").select("bus", "role", "tick", "initial"), _summary(decoder, good))  # choices of a few pins
+        for r in found.collect():
+            f = json.loads(r["fields"])
+            out.append(Hypothesis(name, json.loads(r["bus"]), (1 - 0.5 ** f["ok"]) * f["ok"] / f["n"], f["n"], {"ok": f["ok"]}))
     return sorted(out, key=lambda h: (-h.value, h.protocol, sorted(h.roles.items())))
 
 
