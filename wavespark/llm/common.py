@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,18 +41,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors.
+
+    The table's path is added to paths, for one who drops it later.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if paths is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that no longer exist."""
+    """Lets Spark's cleaner drop the shuffle files of plans that no longer exist.
+
+    The last plan that ran is held until another has, so a small one runs first.
+    """
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works in a thread of its own
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

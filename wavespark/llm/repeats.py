@@ -394,14 +394,13 @@ class Repeats:
         same = Window.partitionBy("anchor", "part")
         placed = placed.withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same))
         placed = placed.where("part > 0 OR low <> high").groupBy("id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("run").alias("runs"))
-        path = new_path(spark, "repeat-runs")
-        placed.write.option("compression", "zstd").parquet(path)
-        placed = spark.read.schema(placed.schema).parquet(path)
+        passing: list[str] = []
+        placed = written(placed, "repeat-runs", passing)
         free_shuffles(spark)
         cut = self.texts.join(placed, self.texts["first"] == placed["id"]).select("id", "text", "anchors", "runs")
         cut = cut.mapInArrow(_hashed(least), "anchor BIGINT, c1 BIGINT, id BIGINT, start BIGINT, size INT")
         self.occurrences = written(cut, "occurrences")
-        drop_path(spark, path)
+        drop_path(spark, passing.pop())
         where = F.min(F.struct("id", "start", "size")).alias("at")
         contents = self.occurrences.groupBy("anchor", "c1").agg(where, F.max("id").alias("high"))
         contents = contents.select("anchor", "c1", F.col("at.id").alias("low"), "high", F.col("at.start").alias("start"), F.col("at.size").alias("size"))
@@ -416,12 +415,13 @@ class Repeats:
         wanted = contents.join(several, "anchor").groupBy("low").agg(F.collect_list(item).alias("items"))
         wanted = self.texts.join(wanted, self.texts["first"] == wanted["low"]).select("text", "items")
         wanted = wanted.mapInArrow(_cut_out, "anchor BIGINT, c1 BIGINT, content BINARY, low BIGINT, high BIGINT, n BIGINT")
-        wanted = written(wanted, "contents-bytes")
+        wanted = written(wanted, "contents-bytes", passing)
         free_shuffles(spark)
         calm = wanted.where(F.col("n") <= crowd).drop("n").repartition("anchor").sortWithinPartitions("anchor", "c1")
         found = calm.mapInArrow(_grouped(least), f"anchor BIGINT, c1 BIGINT, groups {_GROUPS}")
         found = written(found, "repeat-groups")
         found = found.unionByName(self._windows(wanted.where(F.col("n") > crowd)))
+        drop_path(spark, passing.pop())
         self.groups = found.unionByName(lone.select("anchor", "c1", whole.cast(_GROUPS).alias("groups")))
         free_shuffles(spark)
 
