@@ -211,3 +211,18 @@ def test_more_checks(spark):
     ]
     rows = [(r["check"], r["status"], r["reason"]) for r in runlog.verify_run(e, wanted, 1e6, (0, 10_000)).collect()]
     assert [s for _, s, _ in rows] == ["ok", "ok", "ok", "ok", "ok", "ok", "ng"], rows
+
+
+def test_pieces_decode_as_the_whole(spark):
+    from wavespark.operators.sequence import piece_plan
+    from wavespark.protocols import clocked, serial
+    from wavespark.protocols.decode import decode, decode_split
+    from wavespark.sources import generate as gen
+
+    signals = {"can": (gen.can([(k, bytes([k]), False) for k in range(40)]), lambda x: serial.can(x["line"], 1 << 40, 100)),
+               "i2c": (gen.i2c([(k, False, bytes([k, 1]), b"") for k in range(40)]), lambda x: clocked.i2c(x["scl"], x["sda"]))}
+    for name, (signal, decoder) in signals.items():
+        e = gen.edges(spark, {name: signal})
+        plan = piece_plan(e.select(F.col("role").alias("channel"), "tick"), 900, 300)
+        assert plan.count() > 3
+        assert sorted(map(tuple, decode_split(e, plan, 2000, decoder).collect())) == sorted(map(tuple, decode(e, decoder).collect()))
