@@ -110,3 +110,20 @@ def test_debug_module():
     assert found[0] == ("dm_register", {"register": 0x1005, "op": "write", "value": 0xCAFE})
     assert found[1] == ("dm_register", {"register": 0x1006, "op": "read", "value": 0xBEEF})
     assert [f["address"] for k, f in found if k == "dm_memory"] == [0x80000000, 0x80000004]
+
+
+@pytest.mark.parametrize("size", [0, 1, 8, 12, 64])
+@pytest.mark.parametrize("brs", [False, True])
+def test_can_fd(size, brs):
+    from wavespark.protocols import canfd
+
+    w = gen.Wave(line=1)
+    data = bytes((37 * k + size) & 255 for k in range(size))
+    for ident in (0x123, 0x7F0):
+        w.hold("line", 1, 3000)
+        for b, n in canfd.encode(ident, data, brs):
+            w.hold("line", b, 160 * n)
+    w.hold("line", 1, 3000)
+    signal = w.signal()["line"]
+    found = [f for *_, f in canfd.read(Line(signal[1], 1), 1 << 40, 160, 4)]
+    assert [(f["id"], f["data"], f["ok"], f["ack"], f["brs"]) for f in found] == [(i, data.hex(), True, True, int(brs)) for i in (0x123, 0x7F0)]

@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavespark.plans.catalog import QUERIES, query, table
-from wavespark.protocols import clocked, pulse, serial, upper
+from wavespark.protocols import canfd, clocked, declare, more, pulse, serial, upper
 from wavespark.protocols.decode import decode
 from wavespark.sources import generate as gen
 
 _DATA = bytes(range(16))
 
+
+def _declared(text: str, lines: dict) -> list:
+    """A TOML definition over bits read at clock rises."""
+    rises = lines["clk"].edges(1)
+    return declare.scan(declare.load(text), [int(b) for b in lines["data"].at(rises)], rises.tolist())
+
+
 #: name -> (signals by bus, decoder over lines by role)
 CASES: dict = {
     "uart_chars": ({"a": gen.uart(b"Hello, wave\n"), "b": gen.uart(bytes(range(0, 256, 7)), 64)}, lambda x: serial.uart(x["line"], 1 << 40)),
@@ -40,6 +47,13 @@ CASES: dict = {
     "dcc_packets": ({"a": gen.dcc(b"\x03\x3f\x90")}, lambda x: pulse.dcc(x["line"], 1e6)),
     "usb_packets": ({"t": gen.usb(13, gen.usb_token(5, 1)), "d": gen.usb(3, gen.usb_data(b"\x80\x06\x00\x01\x00\x00\xff\xff"))}, lambda x: pulse.usb(x["dp"], x["dm"], 120e6)),
     "spdif_subframes": ({"a": gen.spdif([1000, -1000, 77])}, lambda x: pulse.spdif(x["line"], 10e6)),
+    "can_fd_frames": ({"a": gen.can_fd([(0x123, bytes(range(12)), True), (0x7F0, b"\x01", False), (0x10, bytes(64), True)])}, lambda x: canfd.read(x["line"], 1 << 40, 160, 4)),
+    "usb_pd_messages": ({"a": gen.usb_pd(0x1161, [0x0001912C])}, lambda x: more.usb_pd(x["line"], 30e6)),
+    "cjtag_cycles": ({"a": gen.cjtag([(1, 0, 1), (0, 1, 0), (1, 1, 1)])}, lambda x: more.cjtag(x["clk"], x["data"])),
+    "tdm_slots": ({"a": gen.tdm([[100, -2, 7, -128], [1, 2, 3, 4]])}, lambda x: more.tdm(x["bclk"], x["fs"], x["sd"], 4, 8)),
+    "qspi_transfers": ({"a": gen.qspi(0x6B, b"\xde\xad")}, lambda x: more.qspi(x["clk"], x["cs"], [x[f"io{k}"] for k in range(4)], [("command", 1, 8), ("data", 4, 0)])),
+    "sd_spi_commands": ({"a": gen.sd_spi(17, 512, 0)}, lambda x: more.sd_spi(clocked.spi(x["clk"], x["mosi"], x["miso"], x["cs"]))),
+    "declared_mdio": ({"a": gen.mdio("read", 1, 2, 0x1234)}, lambda x: _declared(declare.MDIO, x)),
     "swim_frames": ({"a": gen.swim([0x01, 0xA5])}, lambda x: pulse.swim(x["line"], 80e6)),
 }
 
