@@ -226,3 +226,21 @@ def test_pieces_decode_as_the_whole(spark):
         plan = piece_plan(e.select(F.col("role").alias("channel"), "tick"), 900, 300)
         assert plan.count() > 3
         assert sorted(map(tuple, decode_split(e, plan, 2000, decoder).collect())) == sorted(map(tuple, decode(e, decoder).collect()))
+
+
+def test_stretches_change_nothing(spark):
+    from wavespark.operators import edges, joins
+
+    r = np.random.default_rng(7)
+    a, b = (np.unique(r.integers(0, 5000, n)).tolist() for n in (200, 60))
+    e = spark.createDataFrame([("x", t) for t in a] + [("y", t) for t in b], "channel STRING, tick BIGINT")
+    whole = sorted(map(tuple, edges.edge_levels(e).select("channel", "tick", "seq", "level").collect()))
+    for n in (10, 700, 10_000):
+        assert sorted(map(tuple, edges.edge_levels(e, stretch=n).select("channel", "tick", "seq", "level").collect())) == whole
+    left, right = (spark.createDataFrame([(1, t) for t in ts], "pair INT, tick BIGINT") for ts in (a, b))
+    for f in (joins.asof_backward, joins.asof_forward):
+        for inclusive in (True, False):
+            want = sorted(f(left, right, ["pair"], inclusive).select("tick", "ref").collect(), key=lambda x: x[0])
+            for n in (10, 700):
+                assert sorted(f(left, right, ["pair"], inclusive, n).select("tick", "ref").collect(), key=lambda x: x[0]) == want
+    assert joins.nearest_distance(left, right, ["pair"], 100).agg(F.sum("distance")).first() == joins.nearest_distance(left, right, ["pair"]).agg(F.sum("distance")).first()

@@ -23,10 +23,22 @@ def toggles(changes: DataFrame) -> DataFrame:
     return odd.select("channel", "tick")
 
 
-def edge_levels(edges: DataFrame, initial: int = 0) -> DataFrame:
-    """Adds seq from 1 and level, the level after the edge."""
-    seq = F.row_number().over(LINE()).cast("long")
-    return edges.withColumn("seq", seq).withColumn("level", (F.col("seq") + initial) % 2)
+def edge_levels(edges: DataFrame, initial: int = 0, stretch: int | None = None) -> DataFrame:
+    """Adds seq from 1 and level, the level after the edge.
+
+    A line is numbered in one task; with `stretch`, in one task per so many ticks, and the counts of
+    the stretches before are added: for captures in which one line has a large share of all edges.
+    """
+    if stretch is None:
+        rows = edges.withColumn("seq", F.row_number().over(LINE()).cast("long"))
+    else:
+        rows = edges.withColumn("_stretch", F.floor(F.col("tick") / stretch))
+        counts = rows.groupBy("channel", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy("channel").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select("channel", "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_done"))
+        inside = F.row_number().over(Window.partitionBy("channel", "_stretch").orderBy("tick"))
+        rows = rows.join(counts, ["channel", "_stretch"]).withColumn("seq", F.col("_done") + inside).drop("_done", "_stretch")
+    return rows.withColumn("level", (F.col("seq") + initial) % 2)
 
 
 def runs(edges: DataFrame, start: int, end: int, initial: int = 0) -> DataFrame:

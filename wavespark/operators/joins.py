@@ -6,6 +6,8 @@ window. One shuffle by key, no range join, and memory for a row only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +19,35 @@ def _merged(left: DataFrame, right: DataFrame, keys: list[str], right_first: boo
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], inclusive: bool = True) -> DataFrame:
-    """left with `ref`, the right side's last tick at or before (or before) its own; null if none."""
-    rows = _merged(left, right, keys, inclusive)
-    order = Window.partitionBy(*keys).orderBy("tick", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ref", F.last("ref", ignorenulls=True).over(order)).where("_own").drop("_side", "_own")
+def _carried(rows: DataFrame, keys: list[str], stretch: int | None, order: list, newest: Callable) -> DataFrame:
+    """Fills ref with the last one in an order in which refs only grow (newest max) or only fall (min).
+
+    With `stretch` a key's rows are dealt to tasks of so many ticks; the last ref of the stretches
+    before comes from a row a stretch.
+    """
+    if stretch is None:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("ref", F.last("ref", ignorenulls=True).over(upto))
+    rows = rows.withColumn("_stretch", F.floor(F.col("tick") / stretch))
+    upto = Window.partitionBy(*keys, "_stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    by = F.col("_stretch") if newest is F.max else F.col("_stretch").desc()
+    before = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys, "_stretch").agg(newest("ref").alias("_ref"))
+    ends = ends.select(*keys, "_stretch", newest("_ref").over(before).alias("_ref"))
+    rows = rows.withColumn("ref", F.last("ref", ignorenulls=True).over(upto)).join(ends, [*keys, "_stretch"])
+    return rows.withColumn("ref", F.coalesce("ref", "_ref")).drop("_ref", "_stretch")
+
+
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], inclusive: bool = True, stretch: int | None = None) -> DataFrame:
+    """left with `ref`, the right side's last tick at or before (or before) its own; null if none. stretch: see _carried."""
+    rows = _carried(_merged(left, right, keys, inclusive), keys, stretch, [F.col("tick"), F.col("_side")], F.max)
+    return rows.where("_own").drop("_side", "_own")
 
 
-def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], inclusive: bool = True) -> DataFrame:
-    """left with `ref`, the right side's first tick at or after (or after) its own; null if none."""
-    rows = _merged(left, right, keys, not inclusive)
-    order = Window.partitionBy(*keys).orderBy(F.col("tick").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("ref", F.last("ref", ignorenulls=True).over(order)).where("_own").drop("_side", "_own")
+def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], inclusive: bool = True, stretch: int | None = None) -> DataFrame:
+    """left with `ref`, the right side's first tick at or after (or after) its own; null if none. stretch: see _carried."""
+    rows = _carried(_merged(left, right, keys, not inclusive), keys, stretch, [F.col("tick").desc(), F.col("_side").desc()], F.min)
+    return rows.where("_own").drop("_side", "_own")
 
 
 def level_at(points: DataFrame, edges: DataFrame, keys: list[str], initial: int = 0) -> DataFrame:
@@ -41,9 +60,9 @@ def level_at(points: DataFrame, edges: DataFrame, keys: list[str], initial: int
     return rows.withColumn("level", level).where("_side = 1").drop("_side")
 
 
-def nearest_distance(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def nearest_distance(left: DataFrame, right: DataFrame, keys: list[str], stretch: int | None = None) -> DataFrame:
     """left with `distance` to the nearest tick of right; null if right has none."""
-    both = asof_forward(asof_backward(left, right, keys).withColumnRenamed("ref", "back"), right, keys)
+    both = asof_forward(asof_backward(left, right, keys, stretch=stretch).withColumnRenamed("ref", "back"), right, keys, stretch=stretch)
     distance = F.least(F.col("tick") - F.col("back"), F.col("ref") - F.col("tick"))
     return both.withColumn("distance", distance).drop("back", "ref")
 
