@@ -266,7 +266,7 @@ TRICKY = ["  a b", " a", "a ", "a\n\nb", "x\t y", " ", "", "\n", "é  b", "ÉTÉ
 
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoding_is_the_library_s(texts, name, spaced, monkeypatch):
-    monkeypatch.setattr(encode, "ROOM", 50)
+    monkeypatch.setattr(encode, "ROOM", {True: 50, False: 50})
     e = encode.encoder(encode.tokenizer_path(name), spaced)
     some = TRICKY + list(texts.values())[:60]
     assert e.encode([t.encode() for t in some]) == e.whole(some) == e.encode([t.encode() for t in some])
@@ -366,6 +366,9 @@ def test_license_places():
     edited = " ".join([*mit[:30], "altered", *mit[33:80], "odd", "words", *mit[80:]])
     assert licenses.scan_text(index, edited)[0][0] == "MIT" and licenses.scan_text(index, edited)[0][1] > 0.95
     assert licenses.scan_text(index, "nothing of the kind, under the sun") == []
+    turkish = "İİİ Released under the MIT License."
+    (_, _, _, a, b), = licenses.scan_text(index, turkish)
+    assert turkish[a:b] == "Released under the MIT License"
 
 
 def test_license_rows(spark, odd, none):

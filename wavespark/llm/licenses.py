@@ -113,6 +113,8 @@ def align(template: list[int], words: list[int], low: int, high: int) -> tuple[i
 def scan_text(index: Index, text: str, least: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, matched words, start, end) with character places, in order of place and name."""
     lower = text.lower()
+    if len(lower) != len(text):  # letters whose lower case is longer stay, so that places are the text's
+        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     found = _WORDS.findall(lower)
     get = index.ids.get
     ids = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
@@ -139,10 +141,8 @@ def scan_text(index: Index, text: str, least: float = COVERAGE) -> list[tuple[st
             group.append(hit)
     if not out:
         return []
-    # Lower case may be longer than the text; then places come from the text's own letters.
-    spans = [m.span() for m in _WORDS.finditer(lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else " " for c in text))]
-    whole = len(lower) == len(text)
-    rows = {(n, c, m, spans[a][0], spans[b - 1][1]) if whole or b <= len(spans) else (n, c, m, 0, len(text)) for n, c, m, a, b in out}
+    spans = [m.span() for m in _WORDS.finditer(lower)]
+    rows = {(name, share, matched, spans[a][0], spans[b - 1][1]) for name, share, matched, a, b in out}
     return sorted(rows, key=lambda r: (r[3], r[4], r[0]))
 
 
@@ -157,7 +157,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         for batch in batches:
             rows = [(i.as_py(), *r) for i, t in zip(batch.column(0), batch.column(1), strict=True) for r in scan_text(index, t.as_py(), least)]
             if rows:
-                rows = [(i, n, c, m, a, b) for i, n, c, m, a, b in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
