@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_held: dict[tuple[str, str], object] = {}
+
+
+def held(kind: str, key: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task: one thing at a time, so that stages don't add up in its memory."""
+    if (kind, key) not in _held:
+        _held.clear()
+        _held[kind, key] = make()
+    return _held[kind, key]
+
+
 def text_of(column: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

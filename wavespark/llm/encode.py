@@ -15,8 +15,10 @@ from itertools import chain
 
 import numpy as np
 
-#: Parts kept for a whole process; beyond those, new parts are kept for one group of texts.
-ROOM = 900_000
+from .common import held
+
+#: Parts kept for a whole process, with spaces and without; beyond those, new parts are kept for one group of texts.
+ROOM = {True: 900_000, False: 500_000}
 
 #: Bytes of text that are cut and looked up together.
 GROUP = 8_000_000
@@ -32,9 +34,6 @@ _FORM = re.compile(
     b"(\n?)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+)([!-/:-@\\[-`{-~]*)"
 )
 
-_open: dict[str, _Encoder] = {}
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -196,7 +195,7 @@ class _Encoder:
             uncut = sorted(set(own[np.isin(parts, list(odd))].tolist()))
             for i, ids in zip(uncut, self.whole([texts[i].decode() for i in uncut]), strict=True):
                 out[i] = ids
-        if count > ROOM:
+        if count > ROOM[bool(self.before)]:
             for p in known.new:
                 del known[p]
             known.count, self.used = count, used
@@ -269,6 +268,4 @@ class _Words(_Encoder):
 
 def encoder(path: str, spaced: bool) -> _Encoder:
     """The encoder of a file, one a process. spaced: byte-level with spaces, else words."""
-    if path not in _open:
-        _open[path] = (_Spaced if spaced else _Words)(path)
-    return _open[path]
+    return held("encoder", path, lambda: (_Spaced if spaced else _Words)(path))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, written
+from .common import documents, held, text_of, written
 from .encode import tokenizer_path
 
 START = "▁"
@@ -194,9 +194,6 @@ class _Scorer:
         return out
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
 def _chunks(batch: pa.RecordBatch, bytes_: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of (id, text) with about so many bytes of text."""
     sizes = np.diff(np.r_[0, np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)])])
@@ -215,12 +212,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(shared.value)
+        scorer = held("language", key, lambda: _Scorer(shared.value))
         for batch in batches:
             for some in _chunks(batch):
-                found = _scorers[key].predict(some.column(1).to_pylist())
+                found = scorer.predict(some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                     ["doc_id", "lang_pred", "score"],

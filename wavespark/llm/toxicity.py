@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, table, text_of
+from .common import documents, held, table, text_of
 from .language import LONGEST, _by_length, _chunks, held_out
 
 ORDER = 6
@@ -217,18 +217,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[evidence, np.ones(len(evidence))] @ self.curve, -30, 30)))
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
 def _scored(shared, key: str, final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(model.letters)
+        scorer = held("toxicity", key, lambda: _Scorer(model.letters))
         for batch in batches:
             for some in _chunks(batch):
-                found = _scorers[key].evidence(some.column(1).to_pylist())
+                found = scorer.evidence(some.column(1).to_pylist())
                 if final:
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array(model.scores(found))], ["doc_id", "score"])
                 else:
