@@ -88,8 +88,9 @@ def _runs(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.nd
         while end < len(texts) and size + len(texts[end]) <= _TOGETHER:
             size += len(texts[end])
             end += 1
+        whole = np.frombuffer(b"".join(texts[at:end]), dtype=np.uint8)
         for lo in range(0, max(1, size), 8_000_000):  # a very long text is taken in stretches
-            data = np.frombuffer(b"".join(texts[at:end])[lo : lo + 8_000_000 + least - 1], dtype=np.uint8)
+            data = whole[lo : lo + 8_000_000 + least - 1]
             if len(data) < least:
                 continue
             first, last, h = anchor_runs(data, least)
