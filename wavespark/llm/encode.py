@@ -18,10 +18,10 @@ import numpy as np
 from .common import held
 
 #: Parts kept for a whole process, with spaces and without; beyond those, new parts are kept for one group of texts.
-ROOM = {True: 900_000, False: 500_000}
+ROOM = {True: 900_000, False: 300_000}
 
-#: Bytes of text that are cut and looked up together.
-GROUP = 8_000_000
+#: Bytes of text that are cut and looked up together, with spaces and without.
+GROUP = {True: 8_000_000, False: 4_000_000}
 
 #: White space other than single spaces and line ends: one byte, and in UTF-8 more.
 _CONTROLS = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -172,7 +172,7 @@ class _Encoder:
         for t in texts:
             some.append(t)
             size += len(t)
-            if size > GROUP:
+            if size > GROUP[bool(self.before)]:
                 out += self._some(some)
                 some, size = [], 0
         return out + self._some(some) if some else out

@@ -33,7 +33,7 @@ from .encode import tokenizer_path
 
 START = "▁"
 LONGEST = 40
-ROOM = 400_000
+ROOM = 250_000
 _RUNS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
