@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavespark.llm import exact, language, mixing, packing, simhash
+from wavespark.llm import exact, language, mixing, near, packing
 from wavespark.llm.common import new_path, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,9 +37,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each near-duplicate class: five-word shingles, three bits."""
-    rows = simhash.near_classes(docs, words=5)
-    return _matched(docs, rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
+    """Keeps the document of least doc_id of each class of five-word shingles' similarity 0.8 or more."""
+    kept = near.kept(near.near_classes(docs)).select(F.col("doc_id").alias("other"), F.col("key").alias("other_key"))
+    rows = docs.select(*COLUMNS, near.text_key().alias("key"))
+    rows = rows.join(kept, (F.col("key") == F.col("other_key")) & F.col("doc_id").eqNullSafe(F.col("other")), "left_semi")
+    return rows.dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wavespark.llm import canonical, encode, exact, language, licenses, mixing, packing, queries, repeats, simhash, tokens, toxicity
+from wavespark.llm import canonical, encode, exact, language, licenses, mixing, near, packing, queries, repeats, simhash, tokens, toxicity
 from wavespark.llm.common import new_path
 from wavespark.llm.components import components
 
@@ -393,3 +393,53 @@ def test_pipeline(spark, texts):
     assert seen["near_dedup"].count() <= seen["exact_dedup"].count()
     assert seen["packing"].agg(F.sum("length")).first()[0] == seen["packing"].where("start = 0").agg(F.sum("doc_tokens")).first()[0]
     assert pipeline.run(spark, SF).count() == seen["packing"].count()
+
+def test_near_stage_is_brute_force(spark, none):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    passage = [word() for _ in range(30)]
+    rows, i = [(1, None), (2, ""), (3, "a b"), (4, "A  b"), (5, "a b c d e f")], 10
+    for n in (5, 12, 40, 100, 300, 1000):
+        for _ in range(6):
+            base = [word() for _ in range(n)] + (passage if r.random() < 0.5 else [])
+            for edits in (0, 0, 1, 1, 2, n // 60, n // 40, n // 25, n // 18, n // 10):
+                copy = list(base)
+                for at in r.sample(range(len(copy)), min(edits, len(copy))):
+                    copy[at] = word()
+                rows.append((i, " ".join(copy)))
+                i += 1
+    rows += [(10, rows[20][1] + " more"), (None, " ".join(passage)), (None, "quite other words")]
+    r.shuffle(rows)
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if sets[x] == sets[y] or both * 10 >= 8 * (len(sets[x]) + len(sets[y]) - both):
+                parent[root(x)] = root(y)
+    least: dict[int, tuple] = {}
+    for x, (k, t) in enumerate(rows):
+        own = (k is None, k or 0, hashlib.md5((t or "").encode()).hexdigest())
+        least[root(x)] = min(own, least.get(root(x), own))
+    got = pipeline.near_stage(spark, table(spark, [(k, t, "s") for k, t in rows]), SF).collect()
+    assert sorted((d["doc_id"] is None, d["doc_id"] or 0, hashlib.md5((d["text"] or "").encode()).hexdigest()) for d in got) == sorted(least.values())
+    assert pipeline.near_stage(spark, none, SF).count() == 0
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_pairs_by_blocks(spark, block):
+    w = [f"w{k}" for k in range(60)]
+    t = [(k, " ".join(w[:40] if k % 2 else w) + f" own{k % 7}", "") for k in range(40)]
+    roots = {x["doc_id"]: x["root"] for x in near.near_classes(table(spark, t), block).collect()}
+    assert len({roots[k] for k in range(0, 40, 2)}) == 1 == len({roots[k] for k in range(1, 40, 2)}) and roots[0] != roots[1]
