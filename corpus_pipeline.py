@@ -18,22 +18,26 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SURE = 0.5
 
 
-def _matched(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The documents whose doc_id, null included, is (left_semi) or isn't (left_anti) in ids."""
-    ids = ids.select(F.col("doc_id").alias("other")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("other")), how)
+def _rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row: doc_id may be null or repeat."""
+    return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known; a text without letters has none."""
     model = language.learn(docs)
-    found = written(language.predict(docs, model), "pipeline-languages")
-    return _matched(docs, found.where((F.col("lang_pred") == "und") | (F.col("score") < SURE)), "left_anti")
+    rows = _rows(spark, docs)
+    found = written(language.predict(rows, model, id_col="row"), "pipeline-languages")
+    lost = found.where((F.col("lang_pred") == "und") | (F.col("score") < SURE)).select(F.col("doc_id").alias("row"))
+    return rows.join(lost, "row", "left_anti").select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each text."""
-    return _matched(docs, exact.exact_dedup(docs).where("kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("other"), F.col("digest").alias("other_digest"))
+    rows = docs.select(*COLUMNS, exact.text_digest().alias("digest"))
+    rows = rows.join(kept, (F.col("digest") == F.col("other_digest")) & F.col("doc_id").eqNullSafe(F.col("other")), "left_semi")
+    return rows.dropDuplicates(["digest"]).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +50,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time the mix takes a document; a partial copy has its first words alone."""
-    plan = mixing.mix(docs, quality=mixing.label_weights(table(spark, sf_dir, "labels")))
-    plan = plan.where("epochs > 0 OR part > 0").select("doc_id", F.col("epochs").cast("int").alias("epochs"), F.col("part").cast("int").alias("part"))
-    plan = plan.withColumnRenamed("doc_id", "other")
-    rows = docs.select(*COLUMNS).join(plan, F.col("doc_id").eqNullSafe(F.col("other")))
+    rows = _rows(spark, docs)
+    plan = mixing.mix(rows, quality=mixing.label_weights(table(spark, sf_dir, "labels")), row_col="row")
+    plan = plan.where("epochs > 0 OR part > 0").select("row", F.col("epochs").cast("int").alias("epochs"), F.col("part").cast("int").alias("part"))
+    rows = rows.join(plan, "row")
     whole = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("epochs"))))
     whole = whole.where((F.col("copy") > 0) | (F.col("part") > 0))
     return whole.select(

@@ -443,3 +443,22 @@ def test_near_pairs_by_blocks(spark, block):
     t = [(k, " ".join(w[:40] if k % 2 else w) + f" own{k % 7}", "") for k in range(40)]
     roots = {x["doc_id"]: x["root"] for x in near.near_classes(table(spark, t), block).collect()}
     assert len({roots[k] for k in range(0, 40, 2)}) == 1 == len({roots[k] for k in range(1, 40, 2)}) and roots[0] != roots[1]
+
+
+def test_stages_decide_by_row(spark, odd):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    texts_of = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in df.collect())
+    words = "an own text of many words that has letters".split()
+    rows = [(None, " ".join(words)), (None, "?! 12"), (None, " ".join(reversed(words))), (5, " ".join(words[3:])), (5, " ".join(words[:6])), (5, " ".join(words[:6])), (6, "...")]
+    docs = table(spark, [(i, t, "s") for i, t in rows])
+    plain = lambda some: sorted((i is None, i or 0, t or "") for i, t in some)
+    assert texts_of(stages["language"](spark, docs, SF)) == plain(x for x in rows if x[1] not in ("?! 12", "..."))
+    assert texts_of(stages["exact_dedup"](spark, docs, SF)) == plain(set(rows))
+    assert texts_of(stages["near_dedup"](spark, docs, SF)) == plain(set(rows))
+    got = stages["mixing"](spark, docs, SF)
+    total = sum(len(t.split()) for _, t in rows)
+    assert got.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == int(total * 1.5)
+    assert stages["exact_dedup"](spark, odd, SF).count() == 6 and stages["near_dedup"](spark, odd, SF).count() == 5
+    assert stages["language"](spark, odd, SF).where("doc_id IS NULL").count() == 1
+    assert {r["doc_id"] for r in stages["packing"](spark, stages["mixing"](spark, odd, SF), SF).collect()} <= {i for i, _, _ in ODD}

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WHITE_SPACE, new_path, salt, salts, text_of, written
@@ -24,10 +24,14 @@ from .common import WHITE_SPACE, new_path, salt, salts, text_of, written
 INDEX_COLUMNS = "digest BINARY, keep_id BIGINT"
 
 
+def text_digest(text_col: str = "text") -> Column:
+    """The SHA-256 of a text with each run of ASCII white space as one space."""
+    return F.unhex(F.sha2(F.regexp_replace(text_of(text_col), WHITE_SPACE, " "), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest) of each row."""
-    text = F.regexp_replace(text_of(text_col), WHITE_SPACE, " ")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"))
 
 
 class DigestIndex:

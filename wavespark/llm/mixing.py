@@ -79,23 +79,26 @@ def mix(
     quality: DataFrame | None = None,
     seed: int = 1,
     bins: int = BINS,
+    row_col: str | None = None,
 ) -> DataFrame:
     """What the mix takes of each document.
 
     docs: doc_id, text, source. quality: (doc_id, weight), a row a document, or None. share: the
     budget as a multiple of all sizes; most: a target's cap as a multiple of its source's size.
+    row_col: a column that tells rows of one doc_id apart and is returned too, or None.
     Returns doc_id, source, size, source_size, target, epochs (whole copies), part (words of the
     last, partial copy), taken (words in all).
     """
+    own = [row_col] if row_col else []
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(text_of()).alias("size"), *own
     )
     rows = written(rows, "mix-sizes")  # texts are read once and don't move
     weight = F.lit(1.0)
     if quality is not None:
         rows = rows.join(quality.select("doc_id", F.col("weight").cast("double").alias("weight")), "doc_id", "left")
         weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
-    rows = rows.select("doc_id", "source", "size", (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"))
+    rows = rows.select("doc_id", "source", "size", *own, (-F.log(uniform(F.col("doc_id"), seed)) / weight).alias("key"))
     rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int"))
     summed = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     goal = targets(summed.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most)
@@ -108,11 +111,11 @@ def mix(
     plan = plan.withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
     same = F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bin") == F.col("p.bin"))
     rows = rows.alias("r").join(plan.alias("p"), same).drop(F.col("p.source"), F.col("p.bin"))
-    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bin").orderBy("key", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("above") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before)).cast("long"))
     taken = F.col("epochs") * F.col("size") + F.col("part")
-    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", taken.alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", "part", taken.alias("taken"), *own)
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
