@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import binascii
+import functools
 import math
 import os
 from glob import glob
@@ -10,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from wavespark.functions import bits, sums
 from wavespark.operators import edges, joins, sequence, views
 from wavespark.plans import catalog, checks_catalog, protocols_catalog  # noqa: F401
 
@@ -111,3 +114,35 @@ def test_query(spark, duck, name):
         assert _values(found) == _values(duck.sql(catalog.SQL[name]).df())
     else:
         assert len(found) >= 0 and not any(isinstance(c, float) and math.isnan(c) for c in found.columns)
+
+
+@pytest.mark.parametrize("size", [0, 1, 9, 255, 256, 257, 3000])
+def test_checksums_of_whole_binaries(size):
+    data = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8)
+    for name, (width, poly, init, out, reflect) in bits.CRCS.items():
+        state, mask = init, (1 << width) - 1
+        for byte in data.tolist():
+            order = [byte & 1] if name == "can_crc15" else [byte >> k & 1 for k in (range(8) if reflect else range(7, -1, -1))]
+            for bit in order:
+                if reflect:
+                    state = state >> 1 ^ (poly if (state ^ bit) & 1 else 0)
+                else:
+                    state = (state << 1 & mask) ^ (poly if state >> width - 1 & 1 ^ bit else 0)
+        assert sums.crc(name, data) == state ^ out
+    total = 0
+    for byte in data.tolist():
+        total = total + byte - 255 * (total + byte > 255)
+    assert sums.lin(data) == 255 - total
+    assert sums.crc("sd_crc7", np.array([0x51, 0, 0, 0, 0], dtype=np.uint8)) == 0x2A
+
+
+def test_text_queries_read_whole_texts(spark, tmp_path):
+    texts = {1: "a" * 16 + "b", 2: "a" * 16 + "c", 3: "", 4: "é" * 5000 + "!", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id BIGINT, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {n: {r["doc_id"]: r for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("hex_text", "xor_text", "named_checksums")}
+    for k, t in texts.items():
+        data = (t or "").encode()
+        assert rows["hex_text"][k]["bytes"] == (None if t is None else data.hex())
+        assert rows["xor_text"][k]["xored"] == functools.reduce(lambda a, b: a ^ b, data, 0)
+        assert rows["named_checksums"][k]["sd_crc16"] == binascii.crc_hqx(data, 0)
+        assert rows["named_checksums"][k]["lin"] == sums.lin(np.frombuffer(data, dtype=np.uint8))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavespark.functions import bits, verdicts
+from wavespark.functions import bits, sums, verdicts
 from wavespark.operators import analog, edges, joins, sequence, stats, timing, views
 from wavespark.sources.tables import embedding_trace, event_edges, event_trace, micros, table
 
@@ -688,12 +688,19 @@ def xor_checksum(spark, d):
     return table(spark, d, "documents").select("doc_id", bits.xor_sum(bits.bytes_of(F.md5(F.col("text").cast("binary")).cast("binary"))).alias("xored"))
 
 
+@query()
+def xor_text(spark, d):
+    return sums.checksums(table(spark, d, "documents"), ["xored"])
+
+
 @query()
 def named_checksums(spark, d):
-    values = bits.bytes_of(F.md5(F.col("text").cast("binary")).cast("binary"))
-    sums = [bits.named_crc(n, values).alias(n) for n in bits.CRCS if n != "can_crc15"]
-    flags = F.transform(values, lambda b: b.bitwiseAND(F.lit(1)))
-    return table(spark, d, "documents").select("doc_id", *sums, bits.crc_bits(flags, 15, 0x4599).alias("can_crc15"), bits.lin_checksum(values).alias("lin"))
+    return sums.checksums(table(spark, d, "documents"), [n for n in sums.NAMES if n != "xored"])
+
+
+@query("""SELECT doc_id, lower(hex(encode(text))) AS bytes FROM documents""")
+def hex_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.lower(F.hex(F.col("text").cast("binary"))).alias("bytes"))
 
 
 @query("""SELECT doc_id, lower(hex(encode(substr(text, 1, 16)))) AS head FROM documents""")
