@@ -254,8 +254,9 @@ def test_simhash_odd_rows(spark, odd, none):
 
 def test_components_of_a_path_and_a_star(spark, none):
     e = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)], "a BIGINT, b BIGINT")
-    found = {r["vertex"]: r["root"] for r in components(e).collect()}
-    assert all(v == (0 if k <= 60 else 100) for k, v in found.items()) and len(found) == 111
+    for small in (20, 1000):
+        found = {r["vertex"]: r["root"] for r in components(e, small).collect()}
+        assert all(v == (0 if k <= 60 else 100) for k, v in found.items()) and len(found) == 111
     assert components(e.limit(0)).count() == 0
 
 

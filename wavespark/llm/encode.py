@@ -4,8 +4,8 @@ A tokenizer of the tokenizers library cuts a text before it merges. Where a cut
 is cut here, cheaply, and the ids of a part are kept: words repeat, so most parts are found. A part
 that is a word of ASCII or Latin letters is one piece for the merges, so such parts go to the
 library's model many at a time, past its slower cutting; other new parts go to the whole
-tokenizer. A text whose white space makes the cuts uncertain goes there uncut. Ids come as bytes,
-unsigned 32-bit little-endian.
+tokenizer. A text whose white space makes the cuts uncertain, or that has an added token such as
+`<|endoftext|>` in it, goes there uncut. Ids come as bytes, unsigned 32-bit little-endian.
 """
 
 from __future__ import annotations
@@ -72,9 +72,9 @@ class _Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Added tokens, which the library finds in a text before it cuts it; in any case, since words are cut in lower case.
+        self.added = [t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values()]
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.model.normalizer = None
         sizes = {i: len(t) for t, i in self.library.get_vocab(with_added_tokens=False).items()}
@@ -180,7 +180,8 @@ class _Encoder:
     def _some(self, texts: list[bytes]) -> list[bytes]:
         known = self.known
         count, used = known.count, self.used
-        cut = [self.cut(t) for t in texts]
+        special = {i for i, t in enumerate(texts) for low in (t.lower(),) if any(a in low for a in self.added)}
+        cut = [[] if i in special else self.cut(t) for i, t in enumerate(texts)]
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         parts = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
         new = list(known.new)
@@ -190,9 +191,9 @@ class _Encoder:
         ends = (4 * np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], bounds])]).tolist()
         data = ids.tobytes()
         out = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        if odd:
+        if odd or special:
             own = np.repeat(np.arange(len(texts)), n)
-            uncut = sorted(set(own[np.isin(parts, list(odd))].tolist()))
+            uncut = sorted(special.union(own[np.isin(parts, list(odd))].tolist()))
             for i, ids in zip(uncut, self.whole([texts[i].decode() for i in uncut]), strict=True):
                 out[i] = ids
         if count > ROOM[bool(self.before)]:

@@ -142,9 +142,17 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
             yield some, [words[k] for k in some.tolist()]
 
 
+def runs(part: str) -> list[str]:
+    """The runs of letters in what white space parts; signs such as ½ or ² are no letters."""
+    found = _RUNS.findall(part)
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for run in found for x in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def letters(part: str) -> list[str]:
     """The words of what white space parts."""
-    return [START + run[i : i + LONGEST] for run in _RUNS.findall(part) for i in range(0, len(run), LONGEST)]
+    return [START + run[i : i + LONGEST] for run in runs(part) for i in range(0, len(run), LONGEST)]
 
 
 class Model:
@@ -262,7 +270,7 @@ def learn(
         now = docs.sparkSession.sparkContext.broadcast(probs)
 
         def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            finder = Pieces(vocabulary(path))
+            finder = held("pieces", path, lambda: Pieces(vocabulary(path)))
             total = np.zeros((len(languages), len(finder.pieces)))
             for batch in batches:
                 langs = np.array(batch.column(0).to_pylist(), dtype=object)

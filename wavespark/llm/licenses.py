@@ -3,9 +3,10 @@
 Words are runs of a-z and 0-9 in lower case. Of each window of WINDOW grams of GRAM words a
 template keeps the gram of least hash; an inverted index has the templates and places of each kept
 gram. Grams of a document that the index knows pick a template, a place and so a diagonal; hits of a
-template that lie together are a candidate. A local alignment within BAND words of the hits'
-diagonals gives the matched words: their share of the template is the coverage, and their first and
-last word in the document the span.
+template whose diagonals and places lie together are a candidate. A local alignment within BAND words
+of the hits' diagonals gives the matched words. Alignments of one template that follow each other in
+text and template, as where words were put in between, are one match: its words' share of the template
+is the coverage, and its first and last word in the document the span.
 
 All of every text is scanned, in its own task; the index is as large as the templates.
 
@@ -33,6 +34,8 @@ WINDOW = 2
 BAND = 8
 #: The least coverage that is reported.
 COVERAGE = 0.6
+#: Templates of fewer words must be covered whole: a few words of a line are in any other line of its kind.
+SHORT = 20
 SCHEMA = "doc_id BIGINT, license STRING, coverage DOUBLE, matched_words INT, start BIGINT, end BIGINT"
 _WORDS = re.compile(r"[a-z0-9]+")
 
@@ -83,31 +86,71 @@ class Index:
         return list(zip(at.tolist(), code[at].tolist(), strict=True))
 
 
-def align(template: list[int], words: list[int], low: int, high: int) -> tuple[int, int, int]:
-    """(matched words, first, last + 1) of the best local alignment with words[j] to template[i], low <= j - i <= high.
+def align(template: list[int], words: list[int], low: int, high: int) -> tuple[int, int, int, int, int]:
+    """(matched words, first, last + 1, the same of the template) of the best local alignment of words[j] and template[i], low <= j - i <= high.
 
     A match counts 2, a gap or a mismatch -1; of equal scores the earliest ending wins.
     """
-    empty = (0, 0, 0)  # score, matched, first
-    best, end = empty, 0
-    row: dict[int, tuple[int, int, int]] = {}
+    empty = (0, 0, 0, 0)  # score, matched, first, the template's first
+    best, end, last = empty, 0, 0
+    row: dict[int, tuple[int, int, int, int]] = {}
     for i, t in enumerate(template):
-        new: dict[int, tuple[int, int, int]] = {}
+        new: dict[int, tuple[int, int, int, int]] = {}
         for j in range(max(0, i + low), min(len(words), i + high + 1)):
-            score, matched, first = row.get(j - 1, empty)
+            score, matched, first, begin = row.get(j - 1, empty)
             if words[j] == t:
-                cell = (score + 2, matched + 1, first if score > 0 else j)
+                cell = (score + 2, matched + 1, *((first, begin) if score > 0 else (j, i)))
             else:
-                cell = (score - 1, matched, first)
+                cell = (score - 1, matched, first, begin)
             for other in (row.get(j, empty), new.get(j - 1, empty)):
                 if other[0] - 1 > cell[0]:
                     cell = (other[0] - 1, *other[1:])
             if cell[0] > 0:
                 new[j] = cell
                 if cell[0] > best[0] or cell[0] == best[0] and j + 1 < end:
-                    best, end = cell, j + 1
+                    best, end, last = cell, j + 1, i + 1
         row = new
-    return best[1], best[2], end
+    return best[1], best[2], end, best[3], last
+
+
+def groups(hits: list[tuple[int, int]], reach: int) -> list[list[tuple[int, int]]]:
+    """Hits (place, diagonal) that belong together: diagonals within BAND of the least, then places within reach of the one before."""
+    out: list[list[tuple[int, int]]] = []
+    near: list[tuple[int, int]] = []
+    for hit in [*sorted(hits, key=lambda h: (h[1], h[0])), (0, 1 << 60)]:
+        if near and hit[1] - near[0][1] > BAND:
+            near.sort()
+            cuts = [k for k in range(1, len(near)) if near[k][0] - near[k - 1][0] > reach]
+            out += [near[x:y] for x, y in zip([0, *cuts], [*cuts, len(near)], strict=True)]
+            near = []
+        near.append(hit)
+    return out
+
+
+def chains(found: list[tuple[int, int, int, int, int]], reach: int) -> list[tuple[int, int, int]]:
+    """(matched words, first, last + 1) of alignments that follow each other in text and template alike, heaviest first.
+
+    An alignment joins one that ends at most reach words before it; each is part of one chain.
+    """
+    found = sorted(found, key=lambda x: (x[1], x[2], x[3]))
+    total, before = [x[0] for x in found], [-1] * len(found)
+    low = 0
+    for k, (matched, first, _, begin, _) in enumerate(found):
+        while found[low][1] < first - 3 * reach:  # an alignment is at most twice as long as its template
+            low += 1
+        for j in range(low, k):
+            if found[j][2] <= first <= found[j][2] + reach and found[j][4] <= begin and total[j] + matched > total[k]:
+                total[k], before[k] = total[j] + matched, j
+    out, used = [], set()
+    for k in sorted(range(len(found)), key=lambda k: (-total[k], k)):
+        path, at = [], k
+        while at >= 0 and at not in used:
+            path.append(at)
+            at = before[at]
+        used.update(path)
+        if path:
+            out.append((sum(found[x][0] for x in path), found[path[-1]][1], found[k][2]))
+    return out
 
 
 def scan_text(index: Index, text: str, least: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
@@ -128,17 +171,17 @@ def scan_text(index: Index, text: str, least: float = COVERAGE) -> list[tuple[st
     out = []
     for name, places in by.items():
         template = index.words[name]
-        group: list[tuple[int, int]] = []
-        for hit in [*sorted(places), (1 << 60, 1 << 60)]:
-            if group and (hit[1] - group[0][1] > BAND or hit[0] - group[-1][0] > len(template)):
-                low, high = min(d for _, d in group) - BAND, max(d for _, d in group) + BAND
-                a = max(0, low)
-                words = ids[a : high + len(template)].tolist()
-                matched, first, end = align(template, words, low - a, high - a)
-                if matched >= least * len(template):
-                    out.append((name, matched / len(template), matched, a + first, a + end))
-                group = []
-            group.append(hit)
+        size = len(template)
+        aligned = []
+        for group in groups(places, size):
+            low, high = min(d for _, d in group) - BAND, max(d for _, d in group) + BAND
+            # The group's places lie near each other; the template may begin a whole length before the first.
+            a, b = max(0, group[0][0] - size - BAND), group[-1][0] + size + BAND
+            matched, first, end, begin, last = align(template, ids[a:b].tolist(), low - a, high - a)
+            aligned.append((matched, a + first, a + end, begin, last))
+        for matched, first, end in chains(aligned, size):
+            if matched >= (least if size >= SHORT else 1) * size:
+                out.append((name, matched / size, matched, first, end))
     if not out:
         return []
     spans = [m.span() for m in _WORDS.finditer(lower)]

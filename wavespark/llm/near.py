@@ -1,18 +1,24 @@
-"""Near-duplicate classes by the exact Jaccard similarity of word shingles.
+"""SimHash near-duplicates that hold exactly: every link is a Jaccard similarity of PERCENT or more.
 
 Words are what ASCII white space parts, A-Z lower-cased; a shingle is five words in a row, known by
 64 bits of hash; fewer words are one shingle. Two texts are linked if their sets of shingles have a
 Jaccard similarity of PERCENT or more, and classes are the components of all links.
 
-Candidates: all shingles have one order, those often met in a sample last and else by hash. Sets
-of n and m shingles that are similar enough share at least ceil(0.8 max(n, m)), so the first
-n - ceil(0.8 n) + k shingles of both have k in common: shares_of(min(n, m)) at least. The order
-changes how many candidates there are, never a link: none is lost and nothing is capped.
+Three sources of candidates, each of whose pairs is verified on the whole sets:
 
-Each shingle among the first ones is a cell. All members of a cell are compared with its least id
-first, and the links found are made classes; then all pairs of a cell whose classes differ, by pairs
-of blocks. A candidate's texts are read and their whole sets compared. A large group of copies so
-costs a comparison a member, not one a pair.
+1. SimHash: equal fingerprints of the sets, and those that the segment grids of `simhash.links` join.
+2. Cells' stars: see below.
+3. All pairs of a cell whose classes still differ.
+
+SimHash alone loses links: at a similarity of 0.8 two 64-bit fingerprints differ by ten bits on
+average, beyond what grids over segments can reach. So what it leaves is found by shingles. All
+shingles have one order, those often met in a sample last and else by hash. Sets of n and m shingles
+that are similar enough share at least ceil(0.8 max(n, m)), so the first n - ceil(0.8 n) + k
+shingles of both have k in common: shares_of(min(n, m)) at least. The order changes how many
+candidates there are, never a link: none is lost and nothing is capped. Each shingle among the first
+ones is a cell. All members of a cell are compared with its least id first, and the links found are
+made classes; then all pairs of a cell whose classes differ, by pairs of blocks. A large group of
+copies so costs a comparison a member, not one a pair.
 
 Defined results: equal sets are one point, known by 64 bits of hash; a null text is empty, and
 wordless texts are one class; a row is known by the MD5 of its text, so a null or repeated doc_id
@@ -21,6 +27,7 @@ stands for itself; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, text_of, written
+from . import simhash
+from .common import drop_path, free_shuffles, signed, text_of, written
 from .components import components
 
 WORDS = 5
@@ -43,32 +51,71 @@ BLOCK = 1024
 SAMPLE, FREQUENT = 10_000, 200_000
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+#: Bytes of a text whose words are hashed at once; a piece ends between words.
+PIECE = 1 << 20
+
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+#: Of the powers that a word's hash is a polynomial in; odd, so that it has an inverse.
+_BASE = 0x9E3779B97F4A7C15
+
+_powers: dict[str, np.ndarray] = {}
+
+
+def _table(name: str, size: int) -> np.ndarray:
+    """The values of the bytes, or at least size powers of the base or of its inverse, modulo 2**64."""
+    have = _powers.get(name)
+    if name == "bytes":
+        if have is None:
+            from xxhash import xxh64_intdigest
 
-        if len(self) > 200_000:
-            self.clear()
-        self[word] = value = xxh64_intdigest(word, 5)
-        return value
+            have = _powers[name] = np.array([xxh64_intdigest(bytes([b]), 5) for b in range(256)], dtype=np.uint64)
+    elif have is None or len(have) < size:
+        step = _BASE if name == "base" else pow(_BASE, -1, 1 << 64)
+        factors = np.full(1 << max(12, size.bit_length()), step, dtype=np.uint64)
+        factors[0] = 1
+        have = _powers[name] = np.cumprod(factors, dtype=np.uint64)
+    return have
 
 
-_hashes = _Hashes()
+def _pieces(text: bytes) -> Iterator[bytes]:
+    at = 0
+    while len(text) - at > PIECE:
+        gap = _GAP.search(text, at + PIECE)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64 bits of each word, in order: sums of the bytes' values times powers, taken from a running sum."""
+    found = []
+    for piece in _pieces(text):
+        raw = np.frombuffer(piece.lower(), np.uint8)
+        bounds = np.flatnonzero(np.diff(_SPACE[raw], prepend=True, append=True))
+        starts, ends = bounds[::2], bounds[1::2]
+        sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_table("bytes", 256)[raw] * _table("base", len(raw))[: len(raw)], out=sums[1:])
+        found.append((sums[ends] - sums[starts]) * _table("inverse", len(raw))[starts])
+    return np.concatenate(found)
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """The set of a text's shingles, sorted."""
-    parts = text.lower().split()
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, parts), np.uint64, len(parts))
+    w = word_hashes(text)
+    if not len(w):
+        return w
     size = min(words, len(w))
     h = np.full(len(w) - size + 1, size, dtype=np.uint64)
     for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k]
-    h ^= h >> np.uint64(29)
+        x = w[k : len(w) - size + 1 + k]
+        h = (h ^ x ^ x >> np.uint64(31)) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(28)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(h ^ h >> np.uint64(32))
+    h = np.sort(h ^ h >> np.uint64(32))
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -118,26 +165,28 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, id, n, firsts) of each row; id is its set's hash and n the set's size."""
+    """(doc_id, key, id, fp, n, firsts) of each row; id is its set's hash, fp its SimHash and n the set's size."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            ids, sizes, first = [], [], []
+            ids, fps, sizes, first = [], [], [], []
             for t in batch.column(2):
                 own = shingles(t.as_py())
                 ids.append(xxh3_64_intdigest(own.tobytes()))
+                fps.append(signed(simhash.majority(own)))
                 sizes.append(len(own))
                 first.append(firsts(own, *shared.value).view(np.int64))
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
             ids = pa.array(np.array(ids, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, pa.array(sizes, pa.int64()), lists], ["doc_id", "key", "id", "n", "firsts"])
+            columns = [batch.column(0), batch.column(1), ids, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "id", "fp", "n", "firsts"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id BIGINT, key STRING, id BIGINT, n BIGINT, firsts ARRAY<BIGINT>")
+    return rows.mapInArrow(run, "doc_id BIGINT, key STRING, id BIGINT, fp BIGINT, n BIGINT, firsts ARRAY<BIGINT>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
@@ -199,13 +248,13 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], ["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, paths: list[str]) -> DataFrame:
     """Those pairs (a, b) whose texts (id, text) are similar; a's text goes to each part of its pairs."""
-    pairs = written(pairs.select("a", "b").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")), "near-pairs")
+    pairs = written(pairs.select("a", "b").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")), "near-pairs", paths)
     owns = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")).distinct()
     both = owns.unionAll(pairs.select("a", "part", "b", F.col("b").alias("id"))).join(texts, "id")
     work = both.select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return written(work.mapInArrow(_verified, "a BIGINT, b BIGINT"), "near-links")
+    return written(work.mapInArrow(_verified, "a BIGINT, b BIGINT"), "near-links", paths)
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
@@ -214,35 +263,54 @@ def _enough(pairs: DataFrame) -> DataFrame:
     return met.where(F.col("cells") >= shares_of(F.col("n")))
 
 
-def near_classes(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _by_simhash(points: DataFrame, distance: int, paths: list[str]) -> DataFrame:
+    """Pairs (a, b) of points whose fingerprints are equal or linked by the grids; a chain, not all pairs."""
+    prints = written(points.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")), "near-prints", paths)
+    equal = points.join(prints.where("size > 1"), "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return equal.unionAll(simhash.links(prints.select("fp", F.col("least").alias("id")), distance, paths=paths))
+
+
+def near_classes(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """(doc_id, key, root) of each row; rows of a class have one root."""
     spark = docs.sparkSession
-    rows = written(signatures(docs, id_col, text_col), "near-signatures")
-    points = rows.groupBy("id").agg(F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.min("key").alias("key"))
-    points = written(points, "near-points")
+    rows, paths = written(signatures(docs, id_col, text_col), "near-signatures"), []
+    firsts = [F.first(c).alias(c) for c in ("fp", "n", "firsts")]
+    points = written(rows.groupBy("id").agg(*firsts, F.min("key").alias("key")), "near-points", paths)
     cells = points.select(F.explode("firsts").alias("cell"), "id", "n")
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("least")).where("size > 1")
-    shared = written(cells.join(sizes, "cell"), "near-cells")
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = written(cells.join(sizes, "cell"), "near-cells", paths)
     free_shuffles(spark)
     keys = points.select("id", "key").join(shared.select("id").distinct(), "id")
     texts = docs.select(text_key(text_col).alias("key"), text_of(text_col).cast("binary").alias("text")).join(keys, "key")
-    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")), "near-texts")
+    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")), "near-texts", paths)
+    free_shuffles(spark)
+
+    def named(links: DataFrame) -> DataFrame:
+        roots = components(links).withColumnRenamed("vertex", "id")
+        return written(shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-named", paths)
+
+    # What shares no cell is similar to nothing and has no text here.
+    links = _links(_by_simhash(points, distance, paths), texts, paths)
+    members = named(links)
+    least = members.groupBy("cell").agg(F.min(F.struct("id", "n", "root")).alias("least"))
+    apart = members.join(least, "cell").where("root <> least.root")
+    stars = apart.select(F.col("least.id").alias("a"), F.col("id").alias("b"), F.least("n", "least.n").alias("n"))
+    links = links.unionAll(_links(_enough(stars), texts, paths))
     free_shuffles(spark)
 
-    stars = shared.where("id <> least.id").select(F.col("least.id").alias("a"), F.col("id").alias("b"), F.least("n", "least.n").alias("n"))
-    stars = _links(_enough(stars), texts)
-    named = shared.join(components(stars).withColumnRenamed("vertex", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = written(named.select("cell", "id", "n", "size", "root"), "near-named")
-    mixed = named.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    blocks = named.join(mixed, "cell").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    members = named(links)
+    mixed = members.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    blocks = members.join(mixed, "cell").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = blocks.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "block", "id", "root")
     work = work.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    rest = _links(_enough(work.mapInArrow(_cell_pairs, "a BIGINT, b BIGINT, n BIGINT")), texts)
+    rest = _links(_enough(work.mapInArrow(_cell_pairs, "a BIGINT, b BIGINT, n BIGINT")), texts, paths)
     free_shuffles(spark)
 
-    roots = components(stars.unionAll(rest)).withColumnRenamed("vertex", "id")
+    roots = components(links.unionAll(rest)).withColumnRenamed("vertex", "id")
+    for path in paths:
+        drop_path(spark, path)
     return rows.select("doc_id", "key", "id").join(roots, "id", "left").select("doc_id", "key", F.coalesce("root", "id").alias("root"))
 
 

@@ -58,12 +58,9 @@ def pack_lengths(lengths: list[int], capacity: int = 4096, quadratic: float = 1
 
     for n, i in sorted(rest, key=lambda x: (-x[0], x[1])):
         start = lengths[i] - n
-        fits = np.flatnonzero(room >= n)
-        if len(fits):
-            put(i, start, n, int(fits[np.argmin(cost[fits])]))
-            continue
         while n:
-            s = int(np.argmax(room))
+            fits = np.flatnonzero(room >= n)
+            s = int(fits[np.argmin(cost[fits])]) if len(fits) else int(np.argmax(room))
             part = min(n, int(room[s]))
             put(i, start, part, s)
             start, n = start + part, n - part

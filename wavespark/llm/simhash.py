@@ -40,6 +40,15 @@ NO_ID = (1 << 63) - 1
 _EVEN = np.uint64(0x5555555555555555)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have; 0 of none."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 50_000):
+        some = hashes[at : at + 50_000].view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def text_fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     from xxhash import xxh64_intdigest
 
@@ -52,11 +61,7 @@ def text_fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     ends = [x - 1 for x in accumulate(len(p) + 1 for p in parts)]
     starts = [0, *(x + 1 for x in ends[:-words])]
     hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :], strict=True)], dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 50_000):
-        some = hashes[at : at + 50_000].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,13 +156,13 @@ def _linked(distance: int):
     return run
 
 
-def links(points: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
+def links(points: DataFrame, distance: int = 3, block: int = BLOCK, paths: list[str] | None = None) -> DataFrame:
     """(a, b): ids of points (fp, id; one row a fingerprint) such that components of these links are those of all links."""
     counts = segment_counts(F.col("fp"))
     masks = cell_masks(distance)
     grid = F.explode(F.array(*(F.xxhash64(F.lit(n), counts.bitwiseAND(F.lit(signed(m)))) for n, m in enumerate(masks))))
-    cells = written(points.select(grid.alias("cell"), "fp", "id"), "cells")
-    sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cell-sizes")
+    cells = written(points.select(grid.alias("cell"), "fp", "id"), "cells", paths)
+    sizes = written(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "cell-sizes", paths)
     shared = cells.join(sizes, "cell").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     shared = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     shared = shared.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -19,7 +19,6 @@ any label says so; repeated rows each get a row; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, held, table, text_of
-from .language import LONGEST, _by_length, _chunks, held_out
+from .language import LONGEST, _by_length, _chunks, held_out, runs
 
 ORDER = 6
 SHARED = 2
@@ -37,14 +36,13 @@ DISCOUNT = 0.75
 ROOM = 400_000
 #: The score that calls a document toxic.
 LEVEL = 0.7
-_RUNS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SEEN_BITS = 22
 
 
 def words_of(part: str) -> list[str]:
     """The words of what white space parts, with signs for their start and end."""
-    return [f"^{run[i : i + LONGEST]}$" for run in _RUNS.findall(part) for i in range(0, len(run), LONGEST)]
+    return [f"^{run[i : i + LONGEST]}$" for run in runs(part) for i in range(0, len(run), LONGEST)]
 
 
 def _chars(words: list[str]) -> np.ndarray:
