@@ -23,29 +23,32 @@ def _rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "pipeline-rows")
 
 
+def _one_each(rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Of rows whose key is in kept, the one of least doc_id, a null last, then of least text.
+
+    Copies meet on the map side first, and the join deals by the same key, so texts move once.
+    """
+    least = rows.groupBy(key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *COLUMNS)).alias("row"))
+    return least.join(kept.select(key), key, "left_semi").select(*(f"row.{c}" for c in COLUMNS))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known; a text without letters has none."""
     model = language.learn(docs)
-    rows = _rows(spark, docs)
-    found = written(language.predict(rows, model, id_col="row"), "pipeline-languages")
-    lost = found.where((F.col("lang_pred") == "und") | (F.col("score") < SURE)).select(F.col("doc_id").alias("row"))
-    return rows.join(lost, "row", "left_anti").select(*COLUMNS)
+    rows = language.predict_rows(docs.select(*COLUMNS), model)
+    return rows.where((F.col("language.lang_pred") != "und") & (F.col("language.score") >= SURE)).select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each text."""
-    kept = exact.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("other"), F.col("digest").alias("other_digest"))
-    rows = docs.select(*COLUMNS, exact.text_digest().alias("digest"))
-    rows = rows.join(kept, (F.col("digest") == F.col("other_digest")) & F.col("doc_id").eqNullSafe(F.col("other")), "left_semi")
-    return rows.dropDuplicates(["digest"]).select(*COLUMNS)
+    kept = exact.exact_dedup(docs).where("kept")
+    return _one_each(docs.select(*COLUMNS, exact.text_digest().alias("digest")), kept, "digest")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each class of five-word shingles' similarity 0.8 or more."""
-    kept = near.kept(near.near_classes(docs)).select(F.col("doc_id").alias("other"), F.col("key").alias("other_key"))
-    rows = docs.select(*COLUMNS, near.text_key().alias("key"))
-    rows = rows.join(kept, (F.col("key") == F.col("other_key")) & F.col("doc_id").eqNullSafe(F.col("other")), "left_semi")
-    return rows.dropDuplicates(["key"]).select(*COLUMNS)
+    kept = near.kept(near.near_classes(docs))
+    return _one_each(docs.select(*COLUMNS, near.text_key().alias("key")), kept, "key")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

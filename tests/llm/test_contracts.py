@@ -233,3 +233,16 @@ def test_shingles_are_the_set_of_words_in_a_row(monkeypatch):
         assert len(got) == len(want) and (np.diff(got.astype(object)) > 0).all()
     monkeypatch.setattr(near, "PIECE", 60)
     assert all((near.shingles(t.encode()) == got).all() for t, got in zip(some, whole, strict=True))
+
+
+def test_sketches_bound_what_sets_have_apart():
+    r = random.Random(9)
+    for n in (0, 5, 300, 899, 901, 3000):
+        base = {r.getrandbits(64) for _ in range(n)}
+        for edits in (0, 1, 20, 400):
+            other = set(sorted(base)[edits:]) | {r.getrandbits(64) for _ in range(edits)}
+            a, b = (np.array(sorted(x), dtype=np.uint64) for x in (base, other))
+            one, some = near.sketch(a), near.sketch(b)
+            if len(one) >= len(some):
+                assert near._least_apart(one, some[None])[0] <= len(base ^ other)
+                assert len(one) != len(some) or (edits > 0 or near._least_apart(one, some[None])[0] == 0)

@@ -215,6 +215,26 @@ def _chunks(batch: pa.RecordBatch, bytes_: int = 4_000_000) -> Iterator[pa.Recor
         yield batch.slice(at)
 
 
+def predict_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of docs and the struct `language` (lang_pred, score): decisions by row, without a join."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+    rows = docs.withColumn("language", F.lit(None).cast("struct<lang_pred:string,score:double>"))
+    at = rows.columns.index("language")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = held("language", key, lambda: _Scorer(shared.value))
+        for batch in batches:
+            texts, found = batch.column(batch.schema.names.index(text_col)), []
+            for some in _chunks(pa.RecordBatch.from_arrays([texts, texts], ["id", "text"])):
+                found += scorer.predict([t or "" for t in some.column(1).to_pylist()])
+            columns = list(batch.columns)
+            columns[at] = pa.array([{"lang_pred": k, "score": s} for k, s in found], kind)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of each row."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex

@@ -18,7 +18,8 @@ shingles of both have k in common: shares_of(min(n, m)) at least. The order chan
 candidates there are, never a link: none is lost and nothing is capped. Each shingle among the first
 ones is a cell. All members of a cell are compared with its least id first, and the links found are
 made classes; then all pairs of a cell whose classes differ, by pairs of blocks. A large group of
-copies so costs a comparison a member, not one a pair.
+copies so costs a comparison a member, not one a pair; and a pair leaves a task only if sketches of both sets,
+whose distance is a lower bound of what the sets have apart, leave a link possible.
 
 Defined results: equal sets are one point, known by 64 bits of hash; a null text is empty, and
 wordless texts are one class; a row is known by the MD5 of its text, so a null or repeated doc_id
@@ -47,6 +48,9 @@ PERCENT = 80
 #: Points of a cell that are compared in one task, about.
 BLOCK = 1024
 
+#: 64-bit words of a set's sketch: LONG from SIZE shingles on.
+SHORT, LONG, SIZE = 8, 32, 900
+
 #: About so many documents tell which shingles are frequent, and so many shingles at most are.
 SAMPLE, FREQUENT = 10_000, 200_000
 
@@ -124,6 +128,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A bit for each of 512 or 2048 segments of the hashes: whether an odd number of the set's shingles fall in it.
+
+    Each shingle that one of two sets lacks turns one bit, so the bits that differ are at most those shingles.
+    """
+    words = SHORT if len(own) < SIZE else LONG
+    odd = np.bincount((own & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _least_apart(one: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """A lower bound of how many shingles one set and each of some have apart, by sketches; the longer is folded."""
+    words = min(len(one), some.shape[1])
+    one = np.bitwise_xor.reduce(one.reshape(-1, words), axis=0)
+    return np.bitwise_count(some[:, :words] ^ one).sum(axis=1, dtype=np.int64)
+
+
 def shares_of(n):
     """How many of their first shingles similar sets share, the smaller of which has n; a number or a column."""
     return 1 + n // 20 if isinstance(n, int) else F.floor(n / 20) + 1
@@ -165,28 +186,29 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, id, fp, n, firsts) of each row; id is its set's hash, fp its SimHash and n the set's size."""
+    """(doc_id, key, id, fp, n, sketch, firsts) of each row; id is its set's hash, fp its SimHash and n the set's size."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            ids, fps, sizes, first = [], [], [], []
+            ids, fps, sizes, sketches, first = [], [], [], [], []
             for t in batch.column(2):
                 own = shingles(t.as_py())
                 ids.append(xxh3_64_intdigest(own.tobytes()))
                 fps.append(signed(simhash.majority(own)))
                 sizes.append(len(own))
+                sketches.append(sketch(own).tobytes())
                 first.append(firsts(own, *shared.value).view(np.int64))
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
             ids = pa.array(np.array(ids, dtype=np.uint64).view(np.int64))
-            columns = [batch.column(0), batch.column(1), ids, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "id", "fp", "n", "firsts"])
+            columns = [batch.column(0), batch.column(1), ids, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "id", "fp", "n", "sketch", "firsts"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id BIGINT, key STRING, id BIGINT, fp BIGINT, n BIGINT, firsts ARRAY<BIGINT>")
+    return rows.mapInArrow(run, "doc_id BIGINT, key STRING, id BIGINT, fp BIGINT, n BIGINT, sketch BINARY, firsts ARRAY<BIGINT>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
@@ -196,7 +218,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.nd
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [c.to_numpy() for c in batch.columns]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         keys = np.stack([c.astype(np.int64) for c in cols[:3]], axis=1)
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -211,19 +233,30 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.nd
 
 
 def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n): pairs of a cell whose classes differ and whose sizes allow a link; n is the lesser size."""
+    """(a, b, n): pairs of a cell whose classes differ and whose sizes and sketches allow a link; n is the lesser size.
+
+    Sets of n and m shingles and a similarity of PERCENT have at most (n + m) (100 - PERCENT) / (100 + PERCENT) apart.
+    """
     found: list[tuple[np.ndarray, ...]] = []
     size = 0
-    for (_, i, j), (n, block, ids, roots) in _runs(batches):
+    for (_, i, j), (n, block, ids, roots, sketches) in _runs(batches):
         order = np.argsort(n, kind="stable")
-        n, block, ids, roots = n[order], block[order], ids[order], roots[order]
+        n, block, ids, roots, sketches = n[order], block[order], ids[order], roots[order], sketches[order]
         ends = np.searchsorted(n * PERCENT, n * 100, side="right")
+        # Sorted by size, so the short sketches are first; each row is compared in the words that it has itself.
+        short = int(np.searchsorted(n, SIZE))
+        own = [np.frombuffer(x, "<u8") for x in sketches.tolist()]
+        long = np.stack(own[short:]) if short < len(own) else np.zeros((0, LONG), dtype=np.uint64)
+        folded = np.bitwise_xor.reduce(long.reshape(len(long), LONG // SHORT, SHORT), axis=1)
+        brief = np.concatenate([np.stack(own[:short]), folded]) if short else folded
         for x in range(len(n)):
             some = slice(x + 1, ends[x])
             apart = roots[some] != roots[x]
             if i != j:
                 apart &= block[some] != block[x]
-            other = ids[some][apart]
+            at = np.flatnonzero(apart) + x + 1
+            bound = _least_apart(own[x], brief[at] if x < short else long[at - short])
+            other = ids[at[bound * (100 + PERCENT) <= (n[at] + n[x]) * (100 - PERCENT)]]
             if len(other):
                 found.append((np.minimum(other, ids[x]), np.maximum(other, ids[x]), np.full(len(other), n[x])))
                 size += len(other)
@@ -273,16 +306,20 @@ def _by_simhash(points: DataFrame, distance: int, paths: list[str]) -> DataFrame
 def near_classes(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """(doc_id, key, root) of each row; rows of a class have one root."""
     spark = docs.sparkSession
-    rows, paths = written(signatures(docs, id_col, text_col), "near-signatures"), []
-    firsts = [F.first(c).alias(c) for c in ("fp", "n", "firsts")]
-    points = written(rows.groupBy("id").agg(*firsts, F.min("key").alias("key")), "near-points", paths)
+    paths: list[str] = []
+    signed_rows = written(signatures(docs, id_col, text_col), "near-signatures", paths)
+    firsts = [F.first(c).alias(c) for c in ("fp", "n", "sketch", "firsts")]
+    points = written(signed_rows.groupBy("id").agg(*firsts, F.min("key").alias("key")), "near-points", paths)
+    rows = written(signed_rows.select("doc_id", "key", "id"), "near-rows")
+    drop_path(spark, paths.pop(0))
     cells = points.select(F.explode("firsts").alias("cell"), "id", "n")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = written(cells.join(sizes, "cell"), "near-cells", paths)
     free_shuffles(spark)
     keys = points.select("id", "key").join(shared.select("id").distinct(), "id")
-    texts = docs.select(text_key(text_col).alias("key"), text_of(text_col).cast("binary").alias("text")).join(keys, "key")
-    texts = written(texts.groupBy("id").agg(F.first("text").alias("text")), "near-texts", paths)
+    # Copies meet on the map side, and the join deals by the same key, so texts move once.
+    texts = docs.select(text_key(text_col).alias("key"), text_of(text_col).cast("binary").alias("text"))
+    texts = written(texts.groupBy("key").agg(F.first("text").alias("text")).join(keys, "key").select("id", "text"), "near-texts", paths)
     free_shuffles(spark)
 
     def named(links: DataFrame) -> DataFrame:
@@ -300,10 +337,10 @@ def near_classes(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", te
 
     members = named(links)
     mixed = members.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
-    blocks = members.join(mixed, "cell").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    blocks = members.join(mixed, "cell").join(points.select("id", "sketch"), "id").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = blocks.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "block", "id", "root")
+    work = blocks.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "block", "id", "root", "sketch")
     work = work.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     rest = _links(_enough(work.mapInArrow(_cell_pairs, "a BIGINT, b BIGINT, n BIGINT")), texts, paths)
     free_shuffles(spark)
