@@ -85,6 +85,14 @@ def startstop(edges: DataFrame, clock: str = "scl", data: str = "sda") -> DataFr
     return at.where(high).select("bus", "tick", F.when(F.col("to") == 0, "START").otherwise("STOP").alias("kind"))
 
 
+def frames_startstop(bits: DataFrame, marks: DataFrame) -> DataFrame:
+    """Adds frame, the number of STARTs of the bus so far; bits before the first and after a STOP are dropped. marks: as startstop."""
+    both = bits.withColumn("_side", F.lit(1)).unionByName(marks.select("bus", "tick", "kind").withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy("bus").orderBy("tick", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("frame", F.sum((F.col("kind") == "START").cast("long")).over(upto)).withColumn("_last", F.last("kind", ignorenulls=True).over(upto))
+    return both.where((F.col("_side") == 1) & (F.col("_last") == "START")).select("bus", "tick", "bit", "frame")
+
+
 def i2c_times(edges: DataFrame) -> DataFrame:
     """(bus, name, n, least, median): clock low and high times, and setup and hold of START, STOP and data, in ticks.
 

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 
 def votes(reference: DataFrame, other: DataFrame, width: int, scales: list[float], most: int = 512) -> DataFrame:
-    """(scale, bin, votes) of the first `most` ticks of each side: how many pairs agree on an offset.
+    """(scale, bin, votes): how many pairs of ticks agree on an offset.
 
-    Pairs are of two bounded lists, 512 by 512 at most.
+    Each side gives the first tick of each of `most` equal stretches of its whole trace, so pairs are
+    of two bounded lists, 512 by 512 at most, and no side is sorted.
     """
-    first = lambda df: df.select("tick").orderBy("tick").limit(most)
-    lists = first(reference).agg(F.collect_list("tick").alias("a"))
-    b = first(other).select(F.col("tick").alias("b"))
+
+    def spread(df: DataFrame) -> DataFrame:
+        span = df.agg(F.min("tick").alias("low"), F.max("tick").alias("high"))  # one row
+        part = F.expr(f"(tick - low) * {most} div (high - low + 1)")
+        return df.select("tick").join(F.broadcast(span)).groupBy(part.alias("part")).agg(F.min("tick").alias("tick"))
+
+    lists = spread(reference).agg(F.collect_list("tick").alias("a"))
+    b = spread(other).select(F.col("tick").alias("b"))
     rows = b.join(F.broadcast(lists)).select("b", F.explode("a").alias("a"), F.array(*(F.lit(float(s)) for s in scales)).alias("s"))
     rows = rows.select("a", "b", F.explode("s").alias("scale"))
     return rows.groupBy("scale", F.floor((F.col("a") - F.col("b") * F.col("scale")) / width).alias("bin")).agg(F.count(F.lit(1)).alias("votes"))

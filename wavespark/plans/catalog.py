@@ -683,14 +683,11 @@ def bitfields(spark, d):
     )
 
 
-@query("""SELECT doc_id, list_reduce(list_transform(range(1, 33), lambda i: ascii(substr(md5(text), i, 1))::BIGINT), lambda a, b: xor(a, b)) AS xored FROM documents""")
-def xor_checksum(spark, d):
-    return table(spark, d, "documents").select("doc_id", bits.xor_sum(bits.bytes_of(F.md5(F.col("text").cast("binary")).cast("binary"))).alias("xored"))
-
-
-@query()
+@query("""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(hex(encode(text))), '..')) AS byte FROM documents),
+v AS (SELECT doc_id, ('0x' || byte)::BIGINT AS v FROM p), t AS (SELECT doc_id, bit_xor(v) AS xored, sum(v)::BIGINT AS total FROM v GROUP BY doc_id)
+SELECT doc_id, coalesce(xored, 0) AS xored, CASE WHEN coalesce(total, 0) = 0 THEN 255 ELSE 255 - ((total - 1) % 255 + 1) END AS lin FROM documents LEFT JOIN t USING (doc_id)""")
 def xor_text(spark, d):
-    return sums.checksums(table(spark, d, "documents"), ["xored"])
+    return sums.checksums(table(spark, d, "documents"), ["xored", "lin"])
 
 
 @query()
@@ -703,11 +700,6 @@ def hex_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.lower(F.hex(F.col("text").cast("binary"))).alias("bytes"))
 
 
-@query("""SELECT doc_id, lower(hex(encode(substr(text, 1, 16)))) AS head FROM documents""")
-def hex_bytes(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lower(F.hex(F.substring("text", 1, 16).cast("binary"))).alias("head"))
-
-
 @query("""WITH c AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_linenumber) AS r FROM c),
 s AS (SELECT l_returnflag, sum(n)::BIGINT AS total, max(n) FILTER (r = 1) AS top, coalesce(max(n) FILTER (r = 2), 0) AS second FROM k GROUP BY 1)

@@ -79,16 +79,16 @@ _add("modbus_frames", {"a": gen.uart(_FRAME + upper.modbus_crc(_FRAME).to_bytes(
 _add("uart_lines", {"a": gen.uart(b"CASE_BEGIN one\nok\nCASE_END one\n")}, lambda x: upper.text_lines(serial.uart(x["line"], 1 << 40, 100)))
 
 
-@query("""SELECT doc_id, '$' || body || '*' || lpad(lower(hex(x)), 2, '0') AS sentence, true AS ok FROM (SELECT doc_id, body,
-list_reduce(list_transform(range(1, length(body) + 1), lambda i: ascii(substr(body, i, 1))::BIGINT), lambda a, b: xor(a, b)) AS x
-FROM (SELECT doc_id, substr(md5(text), 1, 12) AS body FROM documents))""")
+@query("""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '.')) AS c FROM documents), t AS (SELECT doc_id, bit_xor(ascii(c)::BIGINT) AS x FROM p GROUP BY doc_id)
+SELECT doc_id, '$' || hex(encode(coalesce(text, ''))) || '*' || lpad(lower(hex(coalesce(x, 0))), 2, '0') AS sentence, true AS ok FROM documents LEFT JOIN t USING (doc_id)""")
 def nmea_xor(spark, d):
-    body = F.substring(F.md5(F.col("text").cast("binary")), 1, 12)
+    """A sentence of each whole text, its body the text's bytes in hex."""
+    body = F.hex(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     codes = F.transform(F.split(F.col("body"), ""), lambda c: F.ascii(c).cast("long"))
     total = F.aggregate(codes, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
     rows = table(spark, d, "documents").select("doc_id", body.alias("body"))
     sentence = F.concat(F.lit("$"), "body", F.lit("*"), F.lower(F.lpad(F.hex(total), 2, "0")))
-    return rows.select("doc_id", sentence.alias("sentence"), upper.nmea_ok(sentence).alias("ok"))
+    return rows.select("doc_id", sentence.alias("sentence")).withColumn("ok", upper.nmea_ok(F.col("sentence")))
 
 
 @query("""WITH t AS (SELECT conv_id, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations)

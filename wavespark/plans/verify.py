@@ -48,18 +48,34 @@ def check_only_moving(edges: DataFrame, allowed: list[str], a: int, b: int) -> D
     return _result(rows, "only_moving", F.lit(False), F.col("n"), F.lit("moved"))
 
 
-def check_pulses(edges: DataFrame, count: tuple[int, int], width: tuple[float, float], res: float) -> DataFrame:
-    """Rises between the limits, and every whole high between the widths, with the resolution told."""
+def _wanted(rows: DataFrame, lines: list[str] | None) -> DataFrame:
+    """A row for each line asked for, without values where it has none; all rows where none is asked for."""
+    if lines is None:
+        return rows
+    return rows.sparkSession.createDataFrame([(c,) for c in lines], "channel STRING").join(rows, "channel", "left")
+
+
+def check_pulses(edges: DataFrame, count: tuple[int, int], width: tuple[float, float], res: float, lines: list[str] | None = None) -> DataFrame:
+    """Whole highs between the limits, and each between the widths, with the resolution told.
+
+    A line asked for that has no pulses has none to count: it fails unless none are wanted.
+    """
     high = E.pulses(edges, 1).groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("width").alias("least"), F.max("width").alias("most"))
-    ok = F.col("n").between(*count) & judge(F.col("least"), res, width[0], width[1]) & judge(F.col("most"), res, width[0], width[1])
-    return _result(high, "pulses", ok, F.col("n"), F.lit("count or width"))
+    high = _wanted(high, lines).withColumn("n", F.coalesce("n", F.lit(0)))
+    fits = judge(F.col("least"), res, width[0], width[1]) & judge(F.col("most"), res, width[0], width[1])
+    ok = F.col("n").between(*count) & F.when(F.col("n") == 0, True).otherwise(fits)
+    return _result(high, "pulses", ok, F.col("n"), F.when(F.col("n") == 0, "no pulses").otherwise("count or width"))
 
 
-def check_square(edges: DataFrame, period: float, tol: float, duty: float, duty_tol: float, res: float = 1.0) -> DataFrame:
-    """Median period and duty of each line against what is wanted."""
-    rows = E.pulse_rows(edges).groupBy("channel").agg(F.median("period").alias("period"), (F.sum("high") / F.sum("period")).alias("duty"), F.count(F.lit(1)).alias("n"))
-    ok = judge(F.col("period"), res, period * (1 - tol), period * (1 + tol)) & judge(F.col("duty"), 0.0, duty - duty_tol, duty + duty_tol)
-    return _result(rows, "square", ok, F.round("period", 3), F.lit("period or duty"))
+def check_square(edges: DataFrame, period: float, tol: float, duty: float, duty_tol: float, res: float = 1.0, lines: list[str] | None = None) -> DataFrame:
+    """Every whole period of each line and its duty in all against what is wanted; a line asked for without a period fails."""
+    rows = E.pulse_rows(edges).groupBy("channel").agg(
+        F.min("period").alias("least"), F.max("period").alias("most"), (F.sum("high") / F.sum("period")).alias("duty"), F.count("period").alias("n")
+    )
+    rows = _wanted(rows, lines).withColumn("n", F.coalesce("n", F.lit(0)))
+    inside = [judge(F.col(c), res, period * (1 - tol), period * (1 + tol)) for c in ("least", "most")]
+    ok = F.when(F.col("n") == 0, False).otherwise(inside[0] & inside[1] & judge(F.col("duty"), 0.0, duty - duty_tol, duty + duty_tol))
+    return _result(rows, "square", ok, F.col("n"), F.when(F.col("n") == 0, "no period").otherwise("period or duty"))
 
 
 def check_voltage(trace: DataFrame, low: float, high: float, bottom: float | None = None, top: float | None = None) -> DataFrame:
