@@ -218,11 +218,16 @@ def interleaved(samples: DataFrame, names: list[str]) -> DataFrame:
 
 
 def reduced(edges: DataFrame, step: int, phase: int = 0) -> DataFrame:
-    """(channel, interval, any_high, any_low, changes) of intervals in which a line changes."""
+    """(channel, interval, any_high, any_low, changes) of intervals in which a line changes.
+
+    An interval has the level before its first change too, unless that falls on its first tick.
+    """
     rows = edge_levels(edges).withColumn("interval", F.floor((F.col("tick") - phase) / step))
-    return rows.groupBy("channel", "interval").agg(
-        F.max(F.greatest("level", 1 - F.col("level"))).alias("any_high"), F.max(F.lit(1)).alias("any_low"), F.count(F.lit(1)).alias("changes")
+    rows = rows.groupBy("channel", "interval").agg(
+        F.min("tick").alias("_at"), F.min_by("level", "tick").alias("_first"), F.max("level").alias("_high"), F.min("level").alias("_low"), F.count(F.lit(1)).alias("changes")
     )
+    before = F.when(F.col("_at") > F.col("interval") * step + phase, 1 - F.col("_first"))
+    return rows.select("channel", "interval", F.greatest("_high", before).alias("any_high"), (1 - F.least("_low", before)).alias("any_low"), "changes")
 
 
 def joined_parts(parts: DataFrame) -> DataFrame:

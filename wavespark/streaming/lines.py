@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,13 +15,8 @@ STATE = "level INT, tick BIGINT"
 
 def _follow(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     level, last = state.get if state.exists else (0, None)
-    ticks = sorted(t for f in frames for t in f["tick"].tolist())
     rows = []
-    i = 0
-    while i < len(ticks):
-        n = ticks.count(ticks[i])
-        t = ticks[i]
-        i += n
+    for t, n in sorted(Counter(t for f in frames for t in f["tick"].tolist()).items()):
         if last is not None and t <= last or n % 2 == 0:  # late, or cancelled on its tick
             continue
         level = 1 - level
