@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -246,3 +247,13 @@ def test_sketches_bound_what_sets_have_apart():
             if len(one) >= len(some):
                 assert near._least_apart(one, some[None])[0] <= len(base ^ other)
                 assert len(one) != len(some) or (edits > 0 or near._least_apart(one, some[None])[0] == 0)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_cells_that_two_rows_have(size):
+    r = random.Random(10)
+    rows = sorted((r.randrange(30), r.choice([-1, -1, -1, 0]), k, 7) for k in range(60))
+    batches = [pa.RecordBatch.from_pydict(dict(zip(["cell", "part", "id", "n"], map(list, zip(*rows[a : a + size], strict=True)), strict=True))) for a in range(0, len(rows), size)]
+    got = [x["id"] for b in near._met(iter(batches)) for x in b.to_pylist()]
+    met = [x[:2] for x in rows]
+    assert got == [x[2] for x in rows if x[1] >= 0 or met.count(x[:2]) > 1]

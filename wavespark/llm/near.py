@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import drop_path, free_shuffles, signed, text_of, written
+from .common import drop_path, free_shuffles, salt, salts, signed, text_of, written
 from .components import components
 
 WORDS = 5
@@ -150,14 +150,19 @@ def shares_of(n):
     return 1 + n // 20 if isinstance(n, int) else F.floor(n / 20) + 1
 
 
-def firsts(own: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first shingles of a set; frequent is sorted, ranks are its places from 1, by how often it is met."""
+def firsts(own: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, and how many of them are not frequent; these come before the others.
+
+    frequent is sorted, ranks are its places from 1, by how often it is met.
+    """
     n = len(own)
     size = min(n, n - -(-n * percent // 100) + shares_of(n))
+    rare = n
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        own = own[np.argsort(np.where(frequent[at] == own, ranks[at], 0), kind="stable")]
-    return own[:size]
+        places = np.where(frequent[at] == own, ranks[at], 0)
+        own, rare = own[np.argsort(places, kind="stable")], n - np.count_nonzero(places)
+    return own[:size], min(size, int(rare))
 
 
 def text_key(column: str = "text") -> Column:
@@ -186,29 +191,68 @@ def _frequent(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, id, fp, n, sketch, firsts) of each row; id is its set's hash, fp its SimHash and n the set's size."""
+    """(doc_id, key, id, fp, n, sketch, firsts, rare) of each row.
+
+    id is its set's hash, fp its SimHash, n the set's size and rare the number of firsts before the frequent ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            ids, fps, sizes, sketches, first = [], [], [], [], []
+            ids, fps, sizes, sketches, first, rare = [], [], [], [], [], []
             for t in batch.column(2):
                 own = shingles(t.as_py())
                 ids.append(xxh3_64_intdigest(own.tobytes()))
                 fps.append(signed(simhash.majority(own)))
                 sizes.append(len(own))
                 sketches.append(sketch(own).tobytes())
-                first.append(firsts(own, *shared.value).view(np.int64))
+                some, before = firsts(own, *shared.value)
+                first.append(some.view(np.int64))
+                rare.append(before)
             ends = np.cumsum([0, *map(len, first)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
             ids = pa.array(np.array(ids, dtype=np.uint64).view(np.int64))
-            columns = [batch.column(0), batch.column(1), ids, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "id", "fp", "n", "sketch", "firsts"])
+            columns = [batch.column(0), batch.column(1), ids, pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), lists, pa.array(rare, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "id", "fp", "n", "sketch", "firsts", "rare"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), text_of(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id BIGINT, key STRING, id BIGINT, fp BIGINT, n BIGINT, sketch BINARY, firsts ARRAY<BIGINT>")
+    return rows.mapInArrow(run, "doc_id BIGINT, key STRING, id BIGINT, fp BIGINT, n BIGINT, sketch BINARY, firsts ARRAY<BIGINT>, rare INT")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, id, n) of the cells that two rows or more have, among rows (cell, part, id, n) in order.
+
+    Parts from 0 on are those of frequent cells, whose rows all stay. A row waits for the next one only.
+    """
+    held: list[np.ndarray] | None = None
+    mate = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+        cell, part, ids, n = columns
+        same = (cell[1:] == cell[:-1]) & (part[1:] == part[:-1])
+        stays = part >= 0
+        stays[1:] |= same
+        stays[:-1] |= same
+        stays[0] |= mate
+        held, mate = [c[-1:] for c in columns], bool(stays[-1])
+        at = np.flatnonzero(stays[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (cell, ids, n)], ["cell", "id", "n"])
+    if held is not None and mate:
+        yield pa.RecordBatch.from_arrays([pa.array(held[k]) for k in (0, 2, 3)], ["cell", "id", "n"])
+
+
+def _shared_cells(points: DataFrame) -> DataFrame:
+    """(cell, id, n): the cells that two points or more have. They move once; frequent ones are dealt in parts."""
+    cells = points.select(F.posexplode("firsts").alias("at", "cell"), "rare", "id", "n")
+    part = F.when(F.col("at") >= F.col("rare"), salt(["id"], salts(points.sparkSession))).otherwise(-1)
+    cells = cells.select("cell", part.alias("part"), "id", "n")
+    return cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_met, "cell BIGINT, id BIGINT, n BIGINT")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
@@ -308,13 +352,12 @@ def near_classes(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", te
     spark = docs.sparkSession
     paths: list[str] = []
     signed_rows = written(signatures(docs, id_col, text_col), "near-signatures", paths)
-    firsts = [F.first(c).alias(c) for c in ("fp", "n", "sketch", "firsts")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "n", "sketch", "firsts", "rare")]
     points = written(signed_rows.groupBy("id").agg(*firsts, F.min("key").alias("key")), "near-points", paths)
     rows = written(signed_rows.select("doc_id", "key", "id"), "near-rows")
     drop_path(spark, paths.pop(0))
-    cells = points.select(F.explode("firsts").alias("cell"), "id", "n")
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(cells.join(sizes, "cell"), "near-cells", paths)
+    free_shuffles(spark)
+    shared = written(_shared_cells(points), "near-cells", paths)
     free_shuffles(spark)
     keys = points.select("id", "key").join(shared.select("id").distinct(), "id")
     # Copies meet on the map side, and the join deals by the same key, so texts move once.
@@ -336,7 +379,8 @@ def near_classes(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", te
     free_shuffles(spark)
 
     members = named(links)
-    mixed = members.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("cell")
+    mixed = members.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    mixed = mixed.where("low <> high").select("cell", "size")
     blocks = members.join(mixed, "cell").join(points.select("id", "sketch"), "id").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
