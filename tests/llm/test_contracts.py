@@ -257,3 +257,37 @@ def test_cells_that_two_rows_have(size):
     got = [x["id"] for b in near._met(iter(batches)) for x in b.to_pylist()]
     met = [x[:2] for x in rows]
     assert got == [x[2] for x in rows if x[1] >= 0 or met.count(x[:2]) > 1]
+
+
+def test_pairs_of_small_and_large_runs_agree(monkeypatch):
+    r = random.Random(11)
+    base = [{r.getrandbits(64) for _ in range(n)} for n in (1, 30, 890, 905, 1200)]
+    sets = []
+    for k in range(80):
+        own = set(base[k % 5])
+        for x in sorted(own)[: r.randrange(1 + len(own) // 6)]:
+            own.discard(x)
+            own.add(r.getrandbits(64))
+        sets.append(np.array(sorted(own), dtype=np.uint64))
+    rows = []
+    for cell, blocks in enumerate([1, 1, 2, 3] * 3):
+        for k in r.sample(range(80), r.choice([2, 9, 40])):
+            block, root = k % blocks, k // 2
+            rows += [(cell, min(block, o), max(block, o), len(sets[k]), block, k, root, near.sketch(sets[k]).tobytes()) for o in range(blocks)]
+    rows.sort(key=lambda x: x[:3])
+    names = ["cell", "i", "j", "n", "block", "id", "root", "sketch"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def found(size):
+        parts = [zip(*rows[a : a + size], strict=True) for a in range(0, len(rows), size)]
+        batches = (pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(p, types, strict=True)], names) for p in parts)
+        return Counter((x["a"], x["b"], x["n"]) for b in near._cell_pairs(batches) for x in b.to_pylist())
+
+    small = found(50)
+    assert small == found(7) == found(10**6)
+    monkeypatch.setattr(near, "FEW", 1)
+    assert small == found(50)
+    # No pair that is similar is missing, and none is within a class.
+    met = {(min(x[5], y[5]), max(x[5], y[5])) for x in rows for y in rows if x[:3] == y[:3] and x[6] != y[6] and (x[1] == x[2] or x[4] != y[4])}
+    pairs = {p[:2] for p in small}
+    assert pairs <= met and {p for p in met if near.similar(sets[p[0]], sets[p[1]])} <= pairs

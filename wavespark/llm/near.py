@@ -48,6 +48,9 @@ PERCENT = 80
 #: Points of a cell that are compared in one task, about.
 BLOCK = 1024
 
+#: Runs of at most FEW points are compared TOGETHER rows at a time.
+FEW, TOGETHER = 64, 8192
+
 #: 64-bit words of a set's sketch: LONG from SIZE shingles on.
 SHORT, LONG, SIZE = 8, 32, 900
 
@@ -276,39 +279,102 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.nd
         yield last, [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+def _may_link(bound: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles may be similar, if bound is the least that they have apart.
+
+    At a similarity of PERCENT they have at most (n + m) (100 - PERCENT) / (100 + PERCENT) apart.
+    """
+    return bound * (100 + PERCENT) <= (n + m) * (100 - PERCENT)
+
+
+def _sketches(n: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every sketch in SHORT words, the long ones as they are, and the place of each row's long one."""
+    is_long = n >= SIZE
+    brief = np.zeros((len(n), SHORT), dtype=np.uint64)
+    long = np.frombuffer(b"".join(sketches[is_long].tolist()), "<u8").reshape(-1, LONG)
+    brief[~is_long] = np.frombuffer(b"".join(sketches[~is_long].tolist()), "<u8").reshape(-1, SHORT)
+    brief[is_long] = np.bitwise_xor.reduce(long.reshape(-1, LONG // SHORT, SHORT), axis=1)
+    return brief, long, np.cumsum(is_long) - 1
+
+
+def _large_run(i: int, j: int, n: np.ndarray, block: np.ndarray, ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray):
+    """The pairs of one run, a row against the others at a time."""
+    order = np.argsort(n, kind="stable")
+    n, block, ids, roots, sketches = n[order], block[order], ids[order], roots[order], sketches[order]
+    ends = np.searchsorted(n * PERCENT, n * 100, side="right")
+    # Sorted by size, so the short sketches are first; each row is compared in the words that it has itself.
+    brief, long, _ = _sketches(n, sketches)
+    short = len(n) - len(long)
+    for x in range(len(n)):
+        some = slice(x + 1, ends[x])
+        apart = roots[some] != roots[x]
+        if i != j:
+            apart &= block[some] != block[x]
+        at = np.flatnonzero(apart) + x + 1
+        bound = _least_apart(brief[x], brief[at]) if x < short else _least_apart(long[x - short], long[at - short])
+        at = at[_may_link(bound, n[at], n[x])]
+        if len(at):
+            yield ids[at], np.full(len(at), ids[x]), np.full(len(at), n[x])
+
+
+def _small_runs(run: np.ndarray, across: np.ndarray, n: np.ndarray, block: np.ndarray, ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray):
+    """The pairs of many runs, all rows against those so many rows on at a time; across: blocks must differ."""
+    order = np.lexsort((n, run))
+    run, across, n, block, ids, roots, sketches = (c[order] for c in (run, across, n, block, ids, roots, sketches))
+    brief, long, place = _sketches(n, sketches)
+    for step in range(1, len(run)):
+        x = np.flatnonzero(run[step:] == run[:-step])
+        if not len(x):
+            break
+        y = x + step
+        may = (n[y] * PERCENT <= n[x] * 100) & (roots[x] != roots[y]) & (~across[x] | (block[x] != block[y]))
+        x, y = x[may], y[may]
+        may = _may_link(np.bitwise_count(brief[x] ^ brief[y]).sum(axis=1, dtype=np.int64), n[x], n[y])
+        x, y = x[may], y[may]
+        both = np.flatnonzero(n[x] >= SIZE)
+        bound = np.bitwise_count(long[place[x[both]]] ^ long[place[y[both]]]).sum(axis=1, dtype=np.int64)
+        may = np.ones(len(x), dtype=bool)
+        may[both] = _may_link(bound, n[x[both]], n[y[both]])
+        if may.any():
+            yield ids[x[may]], ids[y[may]], n[x[may]]
+
+
 def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, n): pairs of a cell whose classes differ and whose sizes and sketches allow a link; n is the lesser size.
 
-    Sets of n and m shingles and a similarity of PERCENT have at most (n + m) (100 - PERCENT) / (100 + PERCENT) apart.
+    Small runs are taken TOGETHER rows at a time, larger ones alone.
     """
+
+    def batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        one, other, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(n)], ["a", "b", "n"])
+
+    def pairs() -> Iterator[tuple[np.ndarray, ...]]:
+        small: list[list[np.ndarray]] = []
+        rows = 0
+        for (_, i, j), columns in _runs(batches):
+            size = len(columns[0])
+            if size > FEW:
+                yield from _large_run(i, j, *columns)
+                continue
+            small.append([np.full(size, len(small)), np.full(size, i != j), *columns])
+            rows += size
+            if rows > TOGETHER:
+                yield from _small_runs(*(np.concatenate(c) for c in zip(*small, strict=True)))
+                small, rows = [], 0
+        if small:
+            yield from _small_runs(*(np.concatenate(c) for c in zip(*small, strict=True)))
+
     found: list[tuple[np.ndarray, ...]] = []
     size = 0
-    for (_, i, j), (n, block, ids, roots, sketches) in _runs(batches):
-        order = np.argsort(n, kind="stable")
-        n, block, ids, roots, sketches = n[order], block[order], ids[order], roots[order], sketches[order]
-        ends = np.searchsorted(n * PERCENT, n * 100, side="right")
-        # Sorted by size, so the short sketches are first; each row is compared in the words that it has itself.
-        short = int(np.searchsorted(n, SIZE))
-        own = [np.frombuffer(x, "<u8") for x in sketches.tolist()]
-        long = np.stack(own[short:]) if short < len(own) else np.zeros((0, LONG), dtype=np.uint64)
-        folded = np.bitwise_xor.reduce(long.reshape(len(long), LONG // SHORT, SHORT), axis=1)
-        brief = np.concatenate([np.stack(own[:short]), folded]) if short else folded
-        for x in range(len(n)):
-            some = slice(x + 1, ends[x])
-            apart = roots[some] != roots[x]
-            if i != j:
-                apart &= block[some] != block[x]
-            at = np.flatnonzero(apart) + x + 1
-            bound = _least_apart(own[x], brief[at] if x < short else long[at - short])
-            other = ids[at[bound * (100 + PERCENT) <= (n[at] + n[x]) * (100 - PERCENT)]]
-            if len(other):
-                found.append((np.minimum(other, ids[x]), np.maximum(other, ids[x]), np.full(len(other), n[x])))
-                size += len(other)
-            if size > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "n"])
-                found, size = [], 0
+    for some in pairs():
+        found.append(some)
+        size += len(some[0])
+        if size > 100_000:
+            yield batch(found)
+            found, size = [], 0
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b", "n"])
+        yield batch(found)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
