@@ -291,3 +291,49 @@ def test_pairs_of_small_and_large_runs_agree(monkeypatch):
     met = {(min(x[5], y[5]), max(x[5], y[5])) for x in rows for y in rows if x[:3] == y[:3] and x[6] != y[6] and (x[1] == x[2] or x[4] != y[4])}
     pairs = {p[:2] for p in small}
     assert pairs <= met and {p for p in met if near.similar(sets[p[0]], sets[p[1]])} <= pairs
+
+
+def test_a_group_gives_a_pair_once(monkeypatch):
+    r = random.Random(12)
+    none = np.zeros(0, dtype=np.uint64)
+    base = [{r.getrandbits(64) for _ in range(n)} for n in (1, 30, 890, 905, 1200)]
+    passage = {r.getrandbits(62) for _ in range(40)}
+    sets = []
+    for k in range(90):
+        own = set(base[k % 5])
+        for x in sorted(own)[: r.randrange(1 + len(own) // 6)]:
+            own.discard(x)
+            own.add(r.getrandbits(64))
+        sets.append(np.array(sorted(own | passage if k % 3 else own), dtype=np.uint64))
+    firsts = [near.firsts(x, none, none.astype(np.int64))[0].view(np.int64).tolist() for x in sets]
+    rows = []
+    for least, blocks in enumerate([1, 1, 2, 3]):
+        for k in r.sample(range(90), r.choice([2, 40, 90])):
+            block = k % blocks
+            # A third of the cells is met in other groups.
+            cells = firsts[k][least % 3 :: 3] if k % 2 else firsts[k]
+            rows += [(least, min(block, o), max(block, o), len(sets[k]), block, k, k // 2, near.sketch(sets[k]).tobytes(), cells, len(firsts[k])) for o in range(blocks)]
+    rows.sort(key=lambda x: x[:3])
+    names = ["least", "i", "j", "n", "block", "id", "root", "sketch", "cells", "met"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+
+    def found(size):
+        parts = [zip(*rows[a : a + size], strict=True) for a in range(0, len(rows), size)]
+        batches = (pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(p, types, strict=True)], names) for p in parts)
+        return Counter((x["a"], x["b"], x["n"], x["cells"]) for b in near._cell_pairs(batches) for x in b.to_pylist())
+
+    want, similar = Counter(), Counter()
+    for x, y in ((x, y) for x in rows for y in rows if x[:3] == y[:3] and x[5] < y[5] and x[6] != y[6] and (x[1] == x[2] or x[4] != y[4])):
+        both, n = len(set(x[8]) & set(y[8])), min(x[3], y[3])
+        row = (x[5], y[5], n, both)
+        if both and both + min(x[9] - len(x[8]), y[9] - len(y[8])) >= near.shares_of(n):
+            want[row] += 1
+            similar[row] += near.similar(sets[x[5]], sets[y[5]])
+    got = found(50)
+    assert not got - want and not similar - got and sum(similar.values()) > 100
+    assert sum(got.values()) < sum(row[3] * times for row, times in got.items()) / 10
+    assert got == found(7) == found(10**6)
+    monkeypatch.setattr(near, "LOOKED_UP", 10)
+    assert got == found(50)
+    monkeypatch.setattr(near, "FEW", 1)
+    assert got == found(50)

@@ -7,7 +7,7 @@ Jaccard similarity of PERCENT or more, and classes are the components of all lin
 Three sources of candidates, each of whose pairs is verified on the whole sets:
 
 1. SimHash: equal fingerprints of the sets, and those that the segment grids of `simhash.links` join.
-2. Cells' stars: see below.
+2. Cells' stars: see below. They are verified together with the first.
 3. All pairs of a cell whose classes still differ.
 
 SimHash alone loses links: at a similarity of 0.8 two 64-bit fingerprints differ by ten bits on
@@ -16,10 +16,14 @@ shingles have one order, those often met in a sample last and else by hash. Sets
 that are similar enough share at least ceil(0.8 max(n, m)), so the first n - ceil(0.8 n) + k
 shingles of both have k in common: shares_of(min(n, m)) at least. The order changes how many
 candidates there are, never a link: none is lost and nothing is capped. Each shingle among the first
-ones is a cell. All members of a cell are compared with its least id first, and the links found are
-made classes; then all pairs of a cell whose classes differ, by pairs of blocks. A large group of
-copies so costs a comparison a member, not one a pair; and a pair leaves a task only if sketches of both sets,
-whose distance is a lower bound of what the sets have apart, leave a link possible.
+ones is a cell. A set of n is similar only to sets of at least 0.8 n, so one with fewer cells that
+others have than shares_of(0.8 n) is similar to none, and leaves: most that share no more than a
+passage do. All members of a cell are compared with its least id first, and the links found are
+made classes; then all pairs of a cell whose classes differ. Cells of one least id go to one task as
+a group, a row a member with its cells, or by pairs of blocks of members. A large group of copies so
+costs a comparison a member, not one a pair; and a pair leaves a task once a group, not once a cell, and only
+if sketches of both sets, whose distance is a lower bound of what the sets have apart, and the cells
+that both have elsewhere leave a link possible.
 
 Defined results: equal sets are one point, known by 64 bits of hash; a null text is empty, and
 wordless texts are one class; a row is known by the MD5 of its text, so a null or repeated doc_id
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -45,12 +49,15 @@ WORDS = 5
 #: The least similarity, in hundredths.
 PERCENT = 80
 
-#: Points of a cell that are compared in one task, about.
+#: Points of a group that are compared in one task, about.
 BLOCK = 1024
 
 #: Runs of at most FEW points are compared TOGETHER rows at a time.
 FEW, TOGETHER = 64, 8192
 
+#: Cells that are looked up at once.
+LOOKED_UP = 1 << 20
+
 #: 64-bit words of a set's sketch: LONG from SIZE shingles on.
 SHORT, LONG, SIZE = 8, 32, 900
 
@@ -258,6 +265,12 @@ def _shared_cells(points: DataFrame) -> DataFrame:
     return cells.repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_met, "cell BIGINT, id BIGINT, n BIGINT")
 
 
+def _linkable(cells: DataFrame) -> DataFrame:
+    """Rows (id, n, ...), a row a cell, of the ids with as many cells as they share with any similar set; met: how many."""
+    met = cells.withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    return met.where(F.col("met") >= shares_of(F.expr(f"(n * {PERCENT} + 99) div 100")))
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
     """The key (cell, i, j) and the other columns of each run of rows; runs may go over batches."""
     held: list[list[np.ndarray]] = []
@@ -297,10 +310,10 @@ def _sketches(n: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return brief, long, np.cumsum(is_long) - 1
 
 
-def _large_run(i: int, j: int, n: np.ndarray, block: np.ndarray, ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray):
-    """The pairs of one run, a row against the others at a time."""
+def _large_run(across: bool, n: np.ndarray, block: np.ndarray, roots: np.ndarray, sketches: np.ndarray):
+    """The pairs of one run as places, a row against the others at a time; across: blocks must differ."""
     order = np.argsort(n, kind="stable")
-    n, block, ids, roots, sketches = n[order], block[order], ids[order], roots[order], sketches[order]
+    n, block, roots, sketches = n[order], block[order], roots[order], sketches[order]
     ends = np.searchsorted(n * PERCENT, n * 100, side="right")
     # Sorted by size, so the short sketches are first; each row is compared in the words that it has itself.
     brief, long, _ = _sketches(n, sketches)
@@ -308,19 +321,19 @@ def _large_run(i: int, j: int, n: np.ndarray, block: np.ndarray, ids: np.ndarray
     for x in range(len(n)):
         some = slice(x + 1, ends[x])
         apart = roots[some] != roots[x]
-        if i != j:
+        if across:
             apart &= block[some] != block[x]
         at = np.flatnonzero(apart) + x + 1
         bound = _least_apart(brief[x], brief[at]) if x < short else _least_apart(long[x - short], long[at - short])
         at = at[_may_link(bound, n[at], n[x])]
         if len(at):
-            yield ids[at], np.full(len(at), ids[x]), np.full(len(at), n[x])
+            yield np.full(len(at), order[x]), order[at]
 
 
-def _small_runs(run: np.ndarray, across: np.ndarray, n: np.ndarray, block: np.ndarray, ids: np.ndarray, roots: np.ndarray, sketches: np.ndarray):
-    """The pairs of many runs, all rows against those so many rows on at a time; across: blocks must differ."""
+def _small_runs(run: np.ndarray, across: np.ndarray, n: np.ndarray, block: np.ndarray, roots: np.ndarray, sketches: np.ndarray):
+    """The pairs of many runs as places, all rows against those so many rows on at a time; across: blocks must differ."""
     order = np.lexsort((n, run))
-    run, across, n, block, ids, roots, sketches = (c[order] for c in (run, across, n, block, ids, roots, sketches))
+    run, across, n, block, roots, sketches = (c[order] for c in (run, across, n, block, roots, sketches))
     brief, long, place = _sketches(n, sketches)
     for step in range(1, len(run)):
         x = np.flatnonzero(run[step:] == run[:-step])
@@ -336,45 +349,86 @@ def _small_runs(run: np.ndarray, across: np.ndarray, n: np.ndarray, block: np.nd
         may = np.ones(len(x), dtype=bool)
         may[both] = _may_link(bound, n[x[both]], n[y[both]])
         if may.any():
-            yield ids[x[may]], ids[y[may]], n[x[may]]
+            yield order[x[may]], order[y[may]]
+
+
+def _in_common(x: np.ndarray, y: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """How many cells rows x and y have in common, pair by pair; cells: an array for each row."""
+    sizes = np.array([len(c) for c in cells], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    names, at = np.unique(np.concatenate(cells), return_inverse=True)
+    own = np.sort(np.repeat(np.arange(len(cells)), sizes) * len(names) + at)
+    x, y = np.where(sizes[x] <= sizes[y], x, y), np.where(sizes[x] <= sizes[y], y, x)
+    ends, found, a = np.cumsum(sizes[x]), np.zeros(len(x), dtype=np.int64), 0
+    while a < len(x):
+        before = ends[a] - sizes[x[a]]
+        b = max(a + 1, int(np.searchsorted(ends, before + LOOKED_UP, side="right")))
+        pair = np.repeat(np.arange(a, b), sizes[x[a:b]])
+        place = starts[x[pair]] + np.arange(len(pair)) - (ends[pair] - sizes[x[pair]] - before)
+        want = y[pair] * len(names) + at[place]
+        met = own[np.minimum(np.searchsorted(own, want), len(own) - 1)] == want
+        found[a:b] = np.bincount(pair[met] - a, minlength=b - a)
+        a = b
+    return found
 
 
 def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n): pairs of a cell whose classes differ and whose sizes and sketches allow a link; n is the lesser size.
+    """(a, b, n, cells): pairs of a run whose classes differ and whose sizes and sketches allow a link.
 
+    n is the lesser size, cells how many cells the pair has in common: 1, if a run is a cell. If rows end in their
+    cells and met, how many they have in all runs, a pair without one goes, and one that can't have enough in all.
     Small runs are taken TOGETHER rows at a time, larger ones alone.
     """
 
-    def batch(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        one, other, n = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(n)], ["a", "b", "n"])
+    def of(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: np.ndarray, ids: np.ndarray, cells: np.ndarray | None = None, met: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+        if met is not None:
+            others = met - np.array([len(c) for c in cells], dtype=np.int64)
+        for x, y in _together(pairs):
+            least, both = np.minimum(n[x], n[y]), np.ones(len(x), dtype=np.int64)
+            if met is not None:
+                both = _in_common(x, y, cells)
+                may = (both > 0) & (both + np.minimum(others[x], others[y]) >= 1 + least // 20)
+                x, y, least, both = x[may], y[may], least[may], both[may]
+            yield np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), least, both
 
     def pairs() -> Iterator[tuple[np.ndarray, ...]]:
         small: list[list[np.ndarray]] = []
         rows = 0
+
+        def of_small() -> Iterator[tuple[np.ndarray, ...]]:
+            run, across, n, block, ids, roots, sketches, *more = (np.concatenate(c) for c in zip(*small, strict=True))
+            yield from of(_small_runs(run, across, n, block, roots, sketches), n, ids, *more)
+
         for (_, i, j), columns in _runs(batches):
             size = len(columns[0])
             if size > FEW:
-                yield from _large_run(i, j, *columns)
+                n, block, ids, roots, sketches, *more = columns
+                yield from of(_large_run(i != j, n, block, roots, sketches), n, ids, *more)
                 continue
             small.append([np.full(size, len(small)), np.full(size, i != j), *columns])
             rows += size
             if rows > TOGETHER:
-                yield from _small_runs(*(np.concatenate(c) for c in zip(*small, strict=True)))
+                yield from of_small()
                 small, rows = [], 0
         if small:
-            yield from _small_runs(*(np.concatenate(c) for c in zip(*small, strict=True)))
+            yield from of_small()
+
+    for found in _together(pairs()):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "n", "cells"])
+
 
-    found: list[tuple[np.ndarray, ...]] = []
+def _together(found: Iterator[tuple[np.ndarray, ...]], most: int = 100_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same rows, about so many at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
-    for some in pairs():
-        found.append(some)
+    for some in found:
+        held.append(some)
         size += len(some[0])
-        if size > 100_000:
-            yield batch(found)
-            found, size = [], 0
-    if found:
-        yield batch(found)
+        if size > most:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +447,8 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(pairs: DataFrame, texts: DataFrame, paths: list[str]) -> DataFrame:
     """Those pairs (a, b) whose texts (id, text) are similar; a's text goes to each part of its pairs."""
-    pairs = written(pairs.select("a", "b").withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")), "near-pairs", paths)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")), "near-pairs", paths)
     owns = pairs.select("a", "part", F.lit(None).cast("long").alias("b"), F.col("a").alias("id")).distinct()
     both = owns.unionAll(pairs.select("a", "part", "b", F.col("b").alias("id"))).join(texts, "id")
     work = both.select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -401,8 +456,8 @@ def _links(pairs: DataFrame, texts: DataFrame, paths: list[str]) -> DataFrame:
 
 
 def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, n), a row a cell, with as many cells in common as similar sets have."""
-    met = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cells"), F.first("n").alias("n"))
+    """Pairs (a, b, n, cells) with as many cells in common, in all their rows, as similar sets have."""
+    met = pairs.groupBy("a", "b").agg(F.sum("cells").alias("cells"), F.first("n").alias("n"))
     return met.where(F.col("cells") >= shares_of(F.col("n")))
 
 
@@ -423,7 +478,7 @@ def near_classes(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", te
     rows = written(signed_rows.select("doc_id", "key", "id"), "near-rows")
     drop_path(spark, paths.pop(0))
     free_shuffles(spark)
-    shared = written(_shared_cells(points), "near-cells", paths)
+    shared = written(_linkable(_shared_cells(points)).drop("met"), "near-cells", paths)
     free_shuffles(spark)
     keys = points.select("id", "key").join(shared.select("id").distinct(), "id")
     # Copies meet on the map side, and the join deals by the same key, so texts move once.
@@ -431,28 +486,27 @@ def near_classes(docs: DataFrame, block: int = BLOCK, id_col: str = "doc_id", te
     texts = written(texts.groupBy("key").agg(F.first("text").alias("text")).join(keys, "key").select("id", "text"), "near-texts", paths)
     free_shuffles(spark)
 
-    def named(links: DataFrame) -> DataFrame:
-        roots = components(links).withColumnRenamed("vertex", "id")
-        return written(shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-named", paths)
-
-    # What shares no cell is similar to nothing and has no text here.
-    links = _links(_by_simhash(points, distance, paths), texts, paths)
-    members = named(links)
-    least = members.groupBy("cell").agg(F.min(F.struct("id", "n", "root")).alias("least"))
-    apart = members.join(least, "cell").where("root <> least.root")
-    stars = apart.select(F.col("least.id").alias("a"), F.col("id").alias("b"), F.least("n", "least.n").alias("n"))
-    links = links.unionAll(_links(_enough(stars), texts, paths))
+    # What has too few cells in common with others is similar to nothing and has no text here.
+    least = shared.groupBy("cell").agg(F.min(F.struct("id", "n")).alias("least"))
+    stars = shared.join(least, "cell").where(f"id <> least.id AND greatest(n, least.n) * {PERCENT} <= least(n, least.n) * 100")
+    stars = stars.select(F.col("least.id").alias("a"), F.col("id").alias("b"), F.least("n", "least.n").alias("n"), F.lit(1).alias("cells"))
+    links = _links(_by_simhash(points, distance, paths).unionAll(_enough(stars).select("a", "b")), texts, paths)
     free_shuffles(spark)
 
-    members = named(links)
-    mixed = members.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    mixed = mixed.where("low <> high").select("cell", "size")
-    blocks = members.join(mixed, "cell").join(points.select("id", "sketch"), "id").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    roots = components(links).withColumnRenamed("vertex", "id")
+    members = written(shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "near-named", paths)
+    mixed = members.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("least"))
+    apart = _linkable(members.join(mixed.where("low <> high").select("cell", "least"), "cell"))
+    groups = apart.groupBy("id", "least").agg(*(F.first(c).alias(c) for c in ("n", "root", "met")), F.collect_list("cell").alias("cells"))
+    groups = written(groups.join(points.select("id", "sketch"), "id"), "near-groups", paths)
+    sizes = groups.groupBy("least").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
+    blocks = groups.join(sizes.where("low <> high").select("least", "size"), "least").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = blocks.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "block", "id", "root", "sketch")
-    work = work.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    rest = _links(_enough(work.mapInArrow(_cell_pairs, "a BIGINT, b BIGINT, n BIGINT")), texts, paths)
+    i, j = F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    work = blocks.select("least", i, j, "n", "block", "id", "root", "sketch", "cells", "met")
+    work = work.repartition("least", "i", "j").sortWithinPartitions("least", "i", "j")
+    rest = _links(_enough(work.mapInArrow(_cell_pairs, "a BIGINT, b BIGINT, n BIGINT, cells BIGINT")).select("a", "b"), texts, paths)
     free_shuffles(spark)
 
     roots = components(links.unionAll(rest)).withColumnRenamed("vertex", "id")
